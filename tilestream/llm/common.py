@@ -165,17 +165,23 @@ def shard_of(k1: np.ndarray, shards: int) -> np.ndarray:
     return ((k1 >> np.uint64(33)) % np.uint64(shards)).astype(np.int32)
 
 
+def narrowed(k: np.ndarray, shards: int) -> np.ndarray:
+    """Shard and 32 bits of each digest. What differs may become equal, in a share that doesn't grow as long as shards follow the input."""
+    return shard_of(k, shards).astype(np.uint64) << np.uint64(33) | (k & np.uint64(0xFFFFFFFF))
+
+
 PAIR = np.dtype([("k1", "<u8"), ("k2", "<u8")])
 COUNTS = "shard int, k1 long, k2 long, n long, filter binary"
 
 
-def key_counts(texts: DataFrame, keys_of: Callable[[np.ndarray, list[bytes]], np.ndarray], shards: int, least: int, what: str, hot: int = 0) -> DataFrame:
+def key_counts(texts: DataFrame, keys_of: Callable[[np.ndarray, list[bytes]], np.ndarray], shards: int, least: int, what: str, hot: int = 0, narrow: bool = False) -> DataFrame:
     """Digests that at least `least` emissions carry, with a Bloom filter for each shard (rows whose k1 is null).
 
     keys_of gives the digests of a group of documents, each once for a document: uint64, or PAIR for 128 bits. Map tasks add up equal
     digests and ship one packed row for each group and shard, so a digest that a third of all rows carry is one record of each group.
     A reducer folds as it reads; it holds its shard's distinct digests, and the number of shards grows with the input. With hot, there is
-    another filter for each shard, numbered from `shards` on, of the digests with at least so many emissions.
+    another filter for each shard, numbered from `shards` on, of the digests with at least so many emissions. narrow: keys_of gives digests
+    cut by narrowed(), of which four bytes are shipped.
     """
 
     def emit(batches):
@@ -193,28 +199,29 @@ def key_counts(texts: DataFrame, keys_of: Callable[[np.ndarray, list[bytes]], np
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(shard[at], pa.int32()),
-                    pa.array([keys[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary()),
+                    pa.array([(keys[a:b].astype("<u4") if narrow else keys[a:b]).tobytes() for a, b in zip(at, ends, strict=True)], pa.binary()),
                     pa.array([n[a:b].astype("<u4").tobytes() for a, b in zip(at, ends, strict=True)], pa.binary()),
                 ],
                 names=["shard", "keys", "n"],
             )
 
     def reduce(batches):
-        kind = None
         kept: list[np.ndarray] = []
         sums: list[np.ndarray] = []
         held = 0
         for b in batches:
-            for keys, n in zip(b.column(1), b.column(2), strict=True):
-                n = np.frombuffer(n.as_buffer(), "<u4").astype(np.uint64)
+            for shard, keys, n in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                n = np.frombuffer(n.as_buffer(), "<u4").copy()
                 raw = keys.as_buffer()
-                kind = PAIR if raw.size == 16 * len(n) else np.dtype("<u8")
-                kept.append(np.frombuffer(raw, kind).copy())
+                if narrow:
+                    kept.append(np.frombuffer(raw, "<u4").astype(np.uint64) | np.uint64(shard << 33))
+                else:
+                    kept.append(np.frombuffer(raw, PAIR if raw.size == 16 * len(n) else np.dtype("<u8")).copy())
                 sums.append(n)
-                held += raw.size + 8 * len(n)
+                held += kept[-1].nbytes + n.nbytes
             if held > FOLD_BYTES:
                 k, n = fold(np.concatenate(kept), np.concatenate(sums))
-                kept, sums, held = [k], [n], (k.nbytes + n.nbytes) // 2
+                kept, sums, held = [k], [n], 0
         if not kept:
             return
         keys, n = fold(np.concatenate(kept), np.concatenate(sums))
