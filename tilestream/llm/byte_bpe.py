@@ -9,8 +9,11 @@ comes, with the tokens on which all living paths agree as output, gives a transd
 from __future__ import annotations
 
 import base64
+import gc
 import functools
 import hashlib
+import sys
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -51,10 +54,17 @@ class Transducer:
         self._reset()
 
     def _reset(self) -> None:
-        start = ((-1, 0, ()),)
-        self.states = {start: 0}
-        self.configs = [start]
-        self.arcs: dict[int, tuple[int, tuple[int, ...]]] = {}
+        # a state is the dictionary of its arcs, byte -> (state, tokens)
+        self.configs: dict[int, tuple] = {}
+        self.states: dict[tuple, dict] = {}
+        self.start = self._state(((-1, 0, ()),))
+
+    def _state(self, key: tuple) -> dict:
+        state = self.states.get(key)
+        if state is None:
+            state = self.states[key] = {}
+            self.configs[id(state)] = key
+        return state
 
     def merged(self, data: bytes) -> list[int]:
         """The encoding by merging, lowest rank first and leftmost among equals; for the short strings of the pair test."""
@@ -82,9 +92,9 @@ class Transducer:
             self._joined[t, u] = self.merged(self.tokens[t] + self.tokens[u]) == [t, u]
         return self._joined[t, u]
 
-    def _arc(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+    def _arc(self, state: dict, byte: int) -> tuple[dict, tuple[int, ...]]:
         after = []
-        for last, node, waiting in self.configs[state]:
+        for last, node, waiting in self.configs[id(state)]:
             to = self.child[node].get(byte)
             if to is None:
                 continue
@@ -97,26 +107,21 @@ class Transducer:
         shortest = min(len(w) for _, _, w in after)
         while agreed < shortest and len({w[agreed] for _, _, w in after}) == 1:
             agreed += 1
-        emitted = after[0][2][:agreed]
-        key = tuple(sorted((t, n, w[agreed:]) for t, n, w in after))
-        to = self.states.get(key)
-        if to is None:
-            to = self.states[key] = len(self.configs)
-            self.configs.append(key)
-        made = self.arcs[state << 8 | byte] = (to, emitted)
+        made = state[byte] = (self._state(tuple(sorted((t, n, w[agreed:]) for t, n, w in after))), after[0][2][:agreed])
         return made
 
     def encode(self, data: bytes) -> list[int]:
-        if len(self.configs) > self.most_states:
+        if len(self.states) > self.most_states:
             self._reset()
         out: list[int] = []
-        state, arcs = 0, self.arcs
+        state = self.start
         for byte in data:
-            arc = arcs.get(state << 8 | byte) or self._arc(state, byte)
-            state = arc[0]
-            if arc[1]:
-                out += arc[1]
-        out += next(w for _, node, w in self.configs[state] if node == 0)
+            state, tokens = state.get(byte) or self._arc(state, byte)
+            if tokens:
+                out += tokens
+        for _, node, waiting in self.configs[id(state)]:
+            if node == 0:
+                out += waiting
         return out
 
 
@@ -124,12 +129,13 @@ class Encoder(dict):
     """Whole texts to ids. Pieces are found within runs of (white space, other characters), which cannot influence each other; the ids
     of short runs are kept, up to a bound."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most_runs: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_runs: int = 700_000):
         super().__init__()
         self.transducer = Transducer(ranks)
         self.ranks = ranks
         self.most_runs = most_runs
         self.older: dict[str, bytes] = {}
+        assert sys.byteorder == "little" and array("I").itemsize == 4
         self.piece = regex.compile(pattern.replace(r"[^\s", f"[^{SPACES}").replace(r"\s", f"[{SPACES}]").replace(r"\S", f"[^{SPACES}]"))
         self.runs = regex.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
         self.words = {i: t for t, i in ranks.items()}
@@ -137,15 +143,14 @@ class Encoder(dict):
     def __missing__(self, run: str) -> bytes:
         if (out := self.older.get(run)) is not None:
             return out
-        ids: list[int] = []
-        for piece in self.piece.findall(run):
-            data = piece.encode()
+        pieces = self.piece.findall(run)
+        if len(pieces) > 1:
+            # a piece is a run of its own, and often known as one
+            out = b"".join(map(self._piece, pieces))
+        else:
+            data = run.encode()
             whole = self.ranks.get(data)
-            if whole is None:
-                ids += self.transducer.encode(data)
-            else:
-                ids.append(whole)
-        out = np.array(ids, "<u4").tobytes()
+            out = array("I", self.transducer.encode(data) if whole is None else (whole,)).tobytes()
         if len(run) <= 48:
             if len(self) >= self.most_runs:
                 self.older = dict(self)
@@ -153,6 +158,13 @@ class Encoder(dict):
             self[run] = out
         return out
 
+    def _piece(self, piece: str) -> bytes:
+        if (out := self.get(piece)) is None and (out := self.older.get(piece)) is None:
+            data = piece.encode()
+            whole = self.ranks.get(data)
+            out = array("I", self.transducer.encode(data) if whole is None else (whole,)).tobytes()
+        return out
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         return b"".join(map(self.__getitem__, self.runs.findall(text)))
@@ -220,6 +232,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, keep_ids: bool =
 
     def run(batches):
         e = encoder(path, pattern)
+        gc.disable()  # the tables are large and hold no cycles
         for b in batches:
             out: list[list] = [[], [], [], []]
             for text in b.column(1):
