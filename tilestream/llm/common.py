@@ -174,7 +174,7 @@ PAIR = np.dtype([("k1", "<u8"), ("k2", "<u8")])
 COUNTS = "shard int, k1 long, k2 long, n long, filter binary"
 
 
-def key_counts(texts: DataFrame, keys_of: Callable[[np.ndarray, list[bytes]], np.ndarray], shards: int, least: int, what: str, hot: int = 0, narrow: bool = False) -> DataFrame:
+def key_counts(texts: DataFrame, keys_of: Callable[[np.ndarray, list[bytes]], np.ndarray], shards: int, least: int, what: str, hot: int = 0, narrow: bool = False, group: int = GROUP_BYTES) -> DataFrame:
     """Digests that at least `least` emissions carry, with a Bloom filter for each shard (rows whose k1 is null).
 
     keys_of gives the digests of a group of documents, each once for a document: uint64, or PAIR for 128 bits. Map tasks add up equal
@@ -185,8 +185,8 @@ def key_counts(texts: DataFrame, keys_of: Callable[[np.ndarray, list[bytes]], np
     """
 
     def emit(batches):
-        for ids, group in groups(batches):
-            keys = keys_of(ids, group)
+        for ids, texts_ in groups(batches, group):
+            keys = keys_of(ids, texts_)
             keys, n = fold(keys, np.ones(len(keys), np.uint32))
             if not len(keys):
                 continue

@@ -86,8 +86,14 @@ def digests(joined: memoryview, begin: np.ndarray, end: np.ndarray) -> np.ndarra
     return np.frombuffer(b"".join([f(joined[a:b]) for a, b in zip(begin.tolist(), end.tolist(), strict=True)]), PAIR)
 
 
+def row_key(text: bytes) -> int:
+    """Spark's xxhash64 of a string: with the id, it tells rows apart that repeat an id."""
+    x = xxhash.xxh64_intdigest(text, seed=42)
+    return x - (1 << 64) if x >> 63 else x
+
+
 def repeated_chunks(texts: DataFrame, reach: int, what: str = "chunks") -> DataFrame:
-    """did, start, end, first: each chunk (bytes of the document) whose digest an earlier one has, with the document of the first.
+    """did, rk, start, end, first: each chunk (bytes of the document) whose digest an earlier one has, with the document of the first.
 
     Digests are counted first; only chunks of digests that occur twice are then dealt by digest, and skewed digests are split.
     """
@@ -109,23 +115,23 @@ def repeated_chunks(texts: DataFrame, reach: int, what: str = "chunks") -> DataF
             lengths = np.array([len(t) for t in group], np.int64)
             gap = 2 * WINDOW + reach
             starts = np.cumsum(np.concatenate(([gap], lengths[:-1] + gap)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(begin - starts[own]), pa.array(end - starts[own]), pa.array(d["k1"].view(np.int64) if len(d) else np.zeros(0, np.int64)), pa.array(d["k2"].copy().view(np.int64))], names=["did", "start", "end", "k1", "k2"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(np.array([row_key(t) for t in group], np.int64)[own]), pa.array(begin - starts[own]), pa.array(end - starts[own]), pa.array(d["k1"].view(np.int64) if len(d) else np.zeros(0, np.int64)), pa.array(d["k2"].copy().view(np.int64))], names=["did", "rk", "start", "end", "k1", "k2"])
 
-    held = texts.mapInArrow(hits, "did long, start long, end long, k1 long, k2 long")
+    held = texts.mapInArrow(hits, "did long, rk long, start long, end long, k1 long, k2 long")
     first = held.groupBy("k1", "k2").agg(F.min(F.struct("did", "start")).alias("f"), F.count("*").alias("n")).where("n > 1").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), "f")
     found = held.join(first, (F.col("k1") == F.col("__k1")) & (F.col("k2") == F.col("__k2")))
-    return found.where((F.col("did") != F.col("f.did")) | (F.col("start") != F.col("f.start"))).select("did", "start", "end", F.col("f.did").alias("first"))
+    return found.where((F.col("did") != F.col("f.did")) | (F.col("start") != F.col("f.start"))).select("did", "rk", "start", "end", F.col("f.did").alias("first"))
 
 
 def removed_spans(texts: DataFrame, reach: int = 24, least: int = 100) -> DataFrame:
-    """did, spans (array of start, end) and sources (ids of the documents that keep the text), where runs of repeated chunks reach `least` bytes."""
+    """did, rk, spans (array of start, end) and sources (ids of the documents that keep the text), where runs of repeated chunks reach `least` bytes."""
     found = repeated_chunks(texts, reach).distinct()
-    own = found.groupBy("did").agg(F.array_sort(F.collect_list(F.struct("start", "end", "first"))).alias("c"))
+    own = found.groupBy("did", "rk").agg(F.array_sort(F.collect_list(F.struct("start", "end", "first"))).alias("c"))
 
     def run(batches):
         for b in batches:
-            ids, spans, sources = [], [], []
-            for did, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            ids, keys, spans, sources = [], [], [], []
+            for did, rk, c in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 joined: list[list] = []
                 for x in c:
                     if joined and joined[-1][1] >= x["start"]:
@@ -136,16 +142,17 @@ def removed_spans(texts: DataFrame, reach: int = 24, least: int = 100) -> DataFr
                 kept = [j for j in joined if j[1] - j[0] >= least]
                 if kept:
                     ids.append(did)
+                    keys.append(rk)
                     spans.append([{"start": j[0], "end": j[1]} for j in kept])
                     sources.append(sorted(set().union(*(j[2] for j in kept)) - {did}))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(sources, pa.list_(pa.int64()))], names=["did", "spans", "sources"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(sources, pa.list_(pa.int64()))], names=["did", "rk", "spans", "sources"])
 
-    return own.mapInArrow(run, "did long, spans array<struct<start:long,end:long>>, sources array<long>")
+    return own.mapInArrow(run, "did long, rk long, spans array<struct<start:long,end:long>>, sources array<long>")
 
 
 def cut_report(texts: DataFrame, spans: DataFrame) -> DataFrame:
     """did, n_bytes, n_removed, n_spans, kept_sha256 and sources of every row of texts, after its spans are cut out."""
-    joined = texts.join(spans, "did", "left").select("did", "text", "spans", "sources")
+    joined = texts.withColumn("rk", F.xxhash64("text")).join(spans, ["did", "rk"], "left").select("did", "text", "spans", "sources")
 
     def run(batches):
         for b in batches:

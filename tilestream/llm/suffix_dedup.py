@@ -1 +1,292 @@
-def suffix_dedup_report(docs): raise NotImplementedError
+"""Suffix-array dedup: bytes covered by strings of 50 bytes that an earlier document has too.
+
+Minimizers choose an anchor within every 50-byte window, by the window's content alone, so equal windows have equal anchors. Anchors that
+two documents share are counted first. The windows around shared anchors are dealt by anchor; each shard sorts the suffixes that start
+there by their first 50 bytes, in runs that go to disk and are merged by a priority queue, and walks them by common prefix.
+"""
+
+from __future__ import annotations
+
+import heapq
+import tempfile
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tilestream.llm.common import groups, id_text, key_counts, key_filter, mixed, narrowed, real_id, shard_of, shards_for
+from tilestream.llm.substring_dedup import cut_report, row_key
+
+GRAM = 24
+#: A group's places must fit into so many bits.
+PLACE = 31
+GROUP = 4 << 20
+#: A table of the first documents of exact copies is broadcast up to so many rows (of some 100 bytes); beyond it copies are treated like others.
+COPIES = 300_000
+#: Suffixes in a run that is sorted in memory.
+RUN = 1_500_000
+
+
+def anchors(texts: list[bytes], length: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The joined texts and, for each stretch of windows that have one anchor: document, first start, number of starts, digest of the anchor."""
+    gap = bytes(8)
+    joined = gap.join([*texts, b""]) + bytes(length)
+    lengths = np.array([len(t) for t in texts], np.int64)
+    begins = np.cumsum(np.concatenate(([0], lengths[:-1] + len(gap)))) if len(texts) else lengths
+    x = np.frombuffer(joined, np.uint8).astype(np.uint64)
+    for width in (1, 2, 4):
+        x = x[:-width] << np.uint64(8 * width) | x[width:]
+    n = len(x) - 16
+    h = x[:n] * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    h += x[8 : n + 8]
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    h += x[16 : n + 16]
+    del x
+    h = mixed(h)
+    best = h & np.uint64((1 << 64) - (1 << PLACE)) | np.arange(n, dtype=np.uint64)
+    reach, width = length - GRAM + 1, 1
+    while 2 * width <= reach:
+        best = np.minimum(best[:-width], best[width:])
+        width *= 2
+    if width < reach:
+        best = np.minimum(best[: len(best) - (reach - width)], best[reach - width :])
+    place = (best & np.uint64((1 << PLACE) - 1)).astype(np.int64)
+    del best
+    counts = np.maximum(lengths - length + 1, 0)
+    full = np.flatnonzero(counts)
+    if not len(full):
+        none = np.zeros(0, np.int64)
+        return joined, none, none, none, none.astype(np.uint64)
+    # starts of all windows within documents, without a list of all places
+    valid = np.zeros(len(place) + 1, np.int8)
+    valid[begins[full]] = 1
+    np.subtract.at(valid, begins[full] + counts[full], 1)
+    inside = np.cumsum(valid[:-1], dtype=np.int8).view(bool)
+    new = np.concatenate(([True], place[1:] != place[:-1])) & inside
+    new[begins[full]] = True
+    first = np.flatnonzero(new)
+    own = np.searchsorted(begins, first, "right") - 1
+    ends = np.minimum(np.append(first[1:], len(place)), (begins + counts)[own])
+    return joined, own, first - begins[own], ends - first, h[place[first]]
+
+
+def whole_copies(texts: DataFrame) -> dict[bytes, int] | None:
+    """Digest -> smallest id of texts that recur; empty if the table is too large to broadcast."""
+    again = texts.groupBy(F.sha2("text", 256).alias("d")).agg(F.min("did").alias("least"), F.max("did").alias("most")).where("least < most").select(F.substring("d", 1, 32).alias("d"), "least").persist()
+    found = {bytes.fromhex(r.d): r.least for r in again.toLocalIterator()} if again.count() <= COPIES else {}
+    again.unpersist()
+    return found
+
+
+class Sorted:
+    """Suffix tuples (the first bytes, id, row, start) in order; runs beyond the limit go to disk and are merged by a priority queue."""
+
+    def __init__(self, length: int, limit: int = RUN):
+        self.kind = np.dtype([("key", f"S{length}"), ("did", "<i8"), ("row", "<i8"), ("start", "<i8")])
+        self.limit = limit
+        self.held: list[np.ndarray] = []
+        self.n = 0
+        self.files: list = []
+
+    def add(self, tuples: np.ndarray) -> None:
+        self.held.append(tuples)
+        self.n += len(tuples)
+        if self.n >= self.limit:
+            run = self._run()
+            f = tempfile.TemporaryFile()
+            f.write(run.tobytes())
+            self.files.append((f, len(run)))
+
+    def _run(self) -> np.ndarray:
+        rows = np.concatenate(self.held) if self.held else np.zeros(0, self.kind)
+        self.held, self.n = [], 0
+        return rows[np.argsort(rows["key"], kind="stable")]
+
+    def _blocks(self, f, n: int, size: int = 8192):
+        for a in range(0, n, size):
+            f.seek(a * self.kind.itemsize)
+            rows = np.frombuffer(f.read(min(size, n - a) * self.kind.itemsize), self.kind)
+            yield from zip(rows["key"].tolist(), rows["did"].tolist(), rows["row"].tolist(), rows["start"].tolist(), strict=True)
+
+    def repeats(self):
+        """Arrays of did, row and start of the suffixes whose key a smaller id has too."""
+        last = self._run()
+        if not self.files:
+            if len(last):
+                key = last["key"]
+                at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+                least = np.repeat(np.minimum.reduceat(last["did"], at), np.diff(np.append(at, len(last))))
+                yield last[last["did"] > least]
+            return
+        f = tempfile.TemporaryFile()
+        f.write(last.tobytes())
+        self.files.append((f, len(last)))
+        del last
+        # equal keys come by id, so a group needs no more than its smallest id at a time
+        key, least, out = None, 0, []
+        for k, did, row, start in heapq.merge(*(sorted_ties(self._blocks(f, n)) for f, n in self.files)):
+            if k != key:
+                key, least = k, did
+            elif did > least:
+                out.append((k, did, row, start))
+                if len(out) >= 65536:
+                    yield np.array(out, self.kind)
+                    out = []
+        if out:
+            yield np.array(out, self.kind)
+        for f, _ in self.files:
+            f.close()
+
+
+def sorted_ties(rows):
+    """Rows in order of key, put in order of id where keys are equal."""
+    group: list = []
+    for r in rows:
+        if group and r[0] != group[0][0]:
+            yield from sorted(group)
+            group = []
+        group.append(r)
+    yield from sorted(group)
+
+
+def merged_spans(did: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Spans that touch or overlap become one."""
+    order = np.lexsort((start, row, did))
+    did, row, start, end = did[order], row[order], start[order], end[order]
+    if not len(did):
+        return did, row, start, end
+    other = np.concatenate(([True], (did[1:] != did[:-1]) | (row[1:] != row[:-1])))
+    # windows have one length here, so ends are in order within a row
+    new = other | np.concatenate(([True], start[1:] > end[:-1]))
+    at = np.flatnonzero(new)
+    return did[at], row[at], start[at], np.append(end[at[1:] - 1], end[-1])
+
+
+def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
+    """did, rk, start, end of bytes covered by strings of `length` bytes that also start in a document with a smaller id."""
+    shards = shards_for(texts) * 2
+    copies = texts.sparkSession.sparkContext.broadcast(whole_copies(texts))
+
+    def firsts(ids, group):
+        """Places of the documents that aren't copies of an earlier one, and of those that are."""
+        known = copies.value
+        if not known:
+            return list(range(len(group))), []
+        least = [known.get(row_digest(t)) for t in group]
+        copy = [i for i, x in enumerate(least) if x is not None and x < ids[i]]
+        gone = set(copy)
+        return [i for i in range(len(group)) if i not in gone], copy
+
+    def keys(ids, group):
+        own, _ = firsts(ids, group)
+        _, doc, _, _, h = anchors([group[i] for i in own], length)
+        k = narrowed(h, shards)
+        at = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else doc
+        return np.concatenate([np.unique(k[a:b]) for a, b in zip(at, np.append(at[1:], len(k)), strict=True)]) if len(k) else k
+
+    counts = key_counts(texts, keys, shards, 2, "anchors", narrow=True, group=GROUP)
+    wanted = key_filter(counts, shards)
+    sent = "shard int, did long, rk long, start binary, size binary, bytes binary, spans boolean"
+
+    def emit(batches):
+        for ids, group in groups(batches, GROUP):
+            own, copy = firsts(ids, group)
+            rows = [(-1, int(ids[i]), row_key(group[i]), np.array([0], "<i8").tobytes(), np.array([len(group[i])], "<i8").tobytes(), b"", True) for i in copy if len(group[i]) >= length]
+            joined, doc, start, size, h = anchors([group[i] for i in own], length)
+            hit = wanted.value.contains(narrowed(h, shards))
+            doc, start, size, h = doc[hit], start[hit], size[hit], h[hit]
+            begins = np.cumsum([0, *(len(group[i]) + 8 for i in own)])
+            dids = ids[own] if own else ids[:0]
+            # in order of id, so that of equal stretches the first document's is shipped and the others are known to go
+            order = np.argsort(dids[doc], kind="stable")
+            shard = shard_of(h, shards)
+            seen: dict[bytes, int] = {}
+            by: dict[tuple[int, int], tuple[list, list, list]] = {}
+            known: dict[int, tuple[list, list]] = {}
+            for d, s, n, z in zip(doc[order].tolist(), start[order].tolist(), size[order].tolist(), shard[order].tolist(), strict=True):
+                a = int(begins[d]) + s
+                part = joined[a : a + n + length - 1]
+                first = seen.setdefault(part, d)
+                if first != d and dids[first] < dids[d]:
+                    to = known.setdefault(d, ([], []))
+                    to[0].append(s)
+                    to[1].append(s + n + length - 1)
+                else:
+                    to3 = by.setdefault((z, d), ([], [], []))
+                    to3[0].append(s)
+                    to3[1].append(n)
+                    to3[2].append(part)
+            i8 = lambda v: np.array(v, "<i8").tobytes()
+            keyed = {d: row_key(group[own[d]]) for d in {*known, *(d for _, d in by)}}
+            rows += [(-1, int(dids[d]), keyed[d], i8(a), i8(z), b"", True) for d, (a, z) in known.items()]
+            rows += [(z, int(dids[d]), keyed[d], i8(a), i8(n), b"".join(t), False) for (z, d), (a, n, t) in by.items()]
+            if rows:
+                types = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=[c.split()[0] for c in sent.split(", ")])
+
+    shipped = texts.mapInArrow(emit, sent)
+
+    def spans(did, row, start, end):
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (did, row, start, end)], names=["did", "rk", "start", "end"])
+
+    def direct(batches):
+        for b in batches:
+            for did, rk, start, end in zip(*(b.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True):
+                a, z = np.frombuffer(start, "<i8"), np.frombuffer(end, "<i8")
+                yield spans(*merged_spans(np.full(len(a), did), np.full(len(a), rk), a, z))
+
+    def sort(batches):
+        order = Sorted(length)
+        for b in batches:
+            for did, rk, start, size, data in zip(*(b.column(i).to_pylist() for i in (1, 2, 3, 4, 5)), strict=True):
+                a, n = np.frombuffer(start, "<i8"), np.frombuffer(size, "<i8")
+                base = np.cumsum(np.concatenate(([0], n[:-1] + length - 1)))
+                inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), length)[np.repeat(base, n) + inner]
+                rows = np.zeros(len(windows), order.kind)
+                rows["key"] = np.ascontiguousarray(windows).view(f"S{length}")[:, 0]
+                rows["did"], rows["row"], rows["start"] = did, rk, np.repeat(a, n) + inner
+                order.add(rows)
+        for found in order.repeats():
+            yield spans(*merged_spans(found["did"].copy(), found["row"].copy(), found["start"].copy(), found["start"] + length))
+
+    made = "did long, rk long, start long, end long"
+    dealt = shipped.where("not spans").repartition(shards, "shard").mapInArrow(sort, made)
+    return dealt.unionByName(shipped.where("spans").mapInArrow(direct, made))
+
+
+def row_digest(text: bytes) -> bytes:
+    import hashlib
+
+    return hashlib.sha256(text).digest()[:16]
+
+
+def suffix_dedup_report(docs: DataFrame, length: int = 50) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row.
+
+    Null text is empty; a null doc_id is the smallest. Rows that repeat a doc_id don't count against each other, whatever their texts;
+    rows with equal id and text have equal results.
+    """
+    texts = id_text(docs)
+    found = repeated_spans(texts, length).groupBy("did", "rk").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("c"))
+
+    def join(batches):
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        for b in batches:
+            out = []
+            for c in b.column(2).to_pylist():
+                runs: list[list[int]] = []
+                for x in c:
+                    if runs and x["start"] <= runs[-1][1]:
+                        runs[-1][1] = max(runs[-1][1], x["end"])
+                    else:
+                        runs.append([x["start"], x["end"]])
+                out.append([{"start": a, "end": z} for a, z in runs])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, kind), pa.array([[]] * len(out), pa.list_(pa.int64()))], names=["did", "rk", "spans", "sources"])
+
+    spans = found.mapInArrow(join, "did long, rk long, spans array<struct<start:long,end:long>>, sources array<long>")
+    return cut_report(texts, spans).select(real_id().alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
