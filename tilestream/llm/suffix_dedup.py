@@ -240,17 +240,45 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
                 yield spans(*merged_spans(np.full(len(a), did), np.full(len(a), rk), a, z))
 
     def sort(batches):
-        order = Sorted(length)
+        # stretches with equal bytes: the first document's is sorted, the others are known to go
+        least: dict[bytes, int] = {}
+        same: dict[bytes, bytes] = {}
+        held: list[tuple] = []
         for b in batches:
             for did, rk, start, size, data in zip(*(b.column(i).to_pylist() for i in (1, 2, 3, 4, 5)), strict=True):
-                a, n = np.frombuffer(start, "<i8"), np.frombuffer(size, "<i8")
+                at, parts = 0, []
+                for n in np.frombuffer(size, "<i8").tolist():
+                    part = data[at : at + n + length - 1]
+                    at += n + length - 1
+                    part = same.setdefault(part, part)  # one object for equal bytes
+                    if least.setdefault(part, did) > did:
+                        least[part] = did
+                    parts.append(part)
+                held.append((did, rk, start, size, parts))
+        order = Sorted(length)
+        gone: list[tuple] = []
+        for did, rk, start, size, parts in held:
+            kept: list[tuple[int, int]] = []
+            data = []
+            for a, n, part in zip(np.frombuffer(start, "<i8").tolist(), np.frombuffer(size, "<i8").tolist(), parts, strict=True):
+                if least[part] < did:
+                    gone.append((did, rk, a, a + n + length - 1))
+                else:
+                    kept.append((a, n))
+                    data.append(part)
+            if kept:
+                a, n = (np.array(x, np.int64) for x in zip(*kept, strict=True))
                 base = np.cumsum(np.concatenate(([0], n[:-1] + length - 1)))
                 inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), length)[np.repeat(base, n) + inner]
+                windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(b"".join(data), np.uint8), length)[np.repeat(base, n) + inner]
                 rows = np.zeros(len(windows), order.kind)
                 rows["key"] = np.ascontiguousarray(windows).view(f"S{length}")[:, 0]
                 rows["did"], rows["row"], rows["start"] = did, rk, np.repeat(a, n) + inner
                 order.add(rows)
+        del held, least, same
+        if gone:
+            did, rk, a, z = (np.array(x, np.int64) for x in zip(*gone, strict=True))
+            yield spans(*merged_spans(did, rk, a, z))
         for found in order.repeats():
             yield spans(*merged_spans(found["did"].copy(), found["row"].copy(), found["start"].copy(), found["start"] + length))
 
