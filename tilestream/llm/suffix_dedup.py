@@ -29,8 +29,9 @@ COPIES = 300_000
 RUN = 1_500_000
 
 
-def anchors(texts: list[bytes], length: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The joined texts and, for each stretch of windows that have one anchor: document, first start, number of starts, digest of the anchor."""
+def anchors(texts: list[bytes], length: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The joined texts and, for each stretch of windows that have one anchor: document, first start, number of starts, the
+    anchor's place from the first start, its digest."""
     gap = bytes(8)
     joined = gap.join([*texts, b""]) + bytes(length)
     lengths = np.array([len(t) for t in texts], np.int64)
@@ -60,7 +61,7 @@ def anchors(texts: list[bytes], length: int) -> tuple[bytes, np.ndarray, np.ndar
     full = np.flatnonzero(counts)
     if not len(full):
         none = np.zeros(0, np.int64)
-        return joined, none, none, none, none.astype(np.uint64)
+        return joined, none, none, none, none, none.astype(np.uint64)
     # starts of all windows within documents, without a list of all places
     valid = np.zeros(len(place) + 1, np.int8)
     valid[begins[full]] = 1
@@ -71,7 +72,7 @@ def anchors(texts: list[bytes], length: int) -> tuple[bytes, np.ndarray, np.ndar
     first = np.flatnonzero(new)
     own = np.searchsorted(begins, first, "right") - 1
     ends = np.minimum(np.append(first[1:], len(place)), (begins + counts)[own])
-    return joined, own, first - begins[own], ends - first, h[place[first]]
+    return joined, own, first - begins[own], ends - first, place[first] - first, h[place[first]]
 
 
 def whole_copies(texts: DataFrame) -> dict[bytes, int] | None:
@@ -168,7 +169,7 @@ def merged_spans(did: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.nd
 
 def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
     """did, rk, start, end of bytes covered by strings of `length` bytes that also start in a document with a smaller id."""
-    shards = shards_for(texts) * 2
+    shards = shards_for(texts) * 8
     copies = texts.sparkSession.sparkContext.broadcast(whole_copies(texts))
 
     def firsts(ids, group):
@@ -183,50 +184,47 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
 
     def keys(ids, group):
         own, _ = firsts(ids, group)
-        _, doc, _, _, h = anchors([group[i] for i in own], length)
+        _, doc, _, _, _, h = anchors([group[i] for i in own], length)
         k = narrowed(h, shards)
         at = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else doc
         return np.concatenate([np.unique(k[a:b]) for a, b in zip(at, np.append(at[1:], len(k)), strict=True)]) if len(k) else k
 
     counts = key_counts(texts, keys, shards, 2, "anchors", narrow=True, group=GROUP)
     wanted = key_filter(counts, shards)
-    sent = "shard int, did long, rk long, start binary, size binary, bytes binary, spans boolean"
+    sent = "shard int, did binary, rk binary, start binary, size binary, at binary, bytes binary"
 
     def emit(batches):
         for ids, group in groups(batches, GROUP):
             own, copy = firsts(ids, group)
-            rows = [(-1, int(ids[i]), row_key(group[i]), np.array([0], "<i8").tobytes(), np.array([len(group[i])], "<i8").tobytes(), b"", True) for i in copy if len(group[i]) >= length]
-            joined, doc, start, size, h = anchors([group[i] for i in own], length)
+            joined, doc, start, size, at, h = anchors([group[i] for i in own], length)
             hit = wanted.value.contains(narrowed(h, shards))
-            doc, start, size, h = doc[hit], start[hit], size[hit], h[hit]
+            doc, start, size, at, h = doc[hit], start[hit], size[hit], at[hit], h[hit]
             begins = np.cumsum([0, *(len(group[i]) + 8 for i in own)])
             dids = ids[own] if own else ids[:0]
+            keys_ = np.array([row_key(group[i]) for i in own], np.int64)
             # in order of id, so that of equal stretches the first document's is shipped and the others are known to go
             order = np.argsort(dids[doc], kind="stable")
-            shard = shard_of(h, shards)
+            doc, start, size, at, h = doc[order], start[order], size[order], at[order], h[order]
             seen: dict[bytes, int] = {}
-            by: dict[tuple[int, int], tuple[list, list, list]] = {}
-            known: dict[int, tuple[list, list]] = {}
-            for d, s, n, z in zip(doc[order].tolist(), start[order].tolist(), size[order].tolist(), shard[order].tolist(), strict=True):
-                a = int(begins[d]) + s
+            parts, gone = [], np.zeros(len(doc), bool)
+            for i, (d, a, n) in enumerate(zip(doc.tolist(), (begins[doc] + start).tolist(), size.tolist(), strict=True)):
                 part = joined[a : a + n + length - 1]
                 first = seen.setdefault(part, d)
-                if first != d and dids[first] < dids[d]:
-                    to = known.setdefault(d, ([], []))
-                    to[0].append(s)
-                    to[1].append(s + n + length - 1)
-                else:
-                    to3 = by.setdefault((z, d), ([], [], []))
-                    to3[0].append(s)
-                    to3[1].append(n)
-                    to3[2].append(part)
-            i8 = lambda v: np.array(v, "<i8").tobytes()
-            keyed = {d: row_key(group[own[d]]) for d in {*known, *(d for _, d in by)}}
-            rows += [(-1, int(dids[d]), keyed[d], i8(a), i8(z), b"", True) for d, (a, z) in known.items()]
-            rows += [(z, int(dids[d]), keyed[d], i8(a), i8(n), b"".join(t), False) for (z, d), (a, n, t) in by.items()]
+                gone[i] = first != d and dids[first] < dids[d]
+                parts.append(part)
+            copies_ = [i for i in copy if len(group[i]) >= length]
+            known = [np.concatenate(x) for x in ((dids[doc[gone]], ids[copies_]), (keys_[doc[gone]], [row_key(group[i]) for i in copies_]), (start[gone], np.zeros(len(copies_), np.int64)), ((start + size + length - 1)[gone], [len(group[i]) for i in copies_]))]
+            rows = [(-1, *(x.astype("<i8").tobytes() for x in known), b"", b"")] if len(known[0]) else []
+            left = np.flatnonzero(~gone)
+            shard = shard_of(h[left], shards)
+            left = left[np.argsort(shard, kind="stable")]
+            shard = np.sort(shard)
+            edge = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))) if len(left) else left
+            for a, z in zip(edge.tolist(), np.append(edge[1:], len(left)).tolist(), strict=True):
+                j = left[a:z]
+                rows.append((int(shard[a]), *(x[j].astype("<i8").tobytes() for x in (dids[doc], keys_[doc], start)), size[j].astype("<u2").tobytes(), at[j].astype("u1").tobytes(), b"".join([parts[i] for i in j.tolist()])))
             if rows:
-                types = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=[c.split()[0] for c in sent.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary() if i else pa.int32()) for i in range(7)], names=[c.split()[0] for c in sent.split(", ")])
 
     shipped = texts.mapInArrow(emit, sent)
 
@@ -235,56 +233,54 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
 
     def direct(batches):
         for b in batches:
-            for did, rk, start, end in zip(*(b.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True):
-                a, z = np.frombuffer(start, "<i8"), np.frombuffer(end, "<i8")
-                yield spans(*merged_spans(np.full(len(a), did), np.full(len(a), rk), a, z))
+            for row in zip(*(b.column(i) for i in (1, 2, 3, 4)), strict=True):
+                yield spans(*merged_spans(*(np.frombuffer(x.as_buffer(), "<i8") for x in row)))
 
     def sort(batches):
-        # stretches with equal bytes: the first document's is sorted, the others are known to go
+        # stretches with equal bytes: the first document's is kept, the others are known to go
         least: dict[bytes, int] = {}
-        same: dict[bytes, bytes] = {}
         held: list[tuple] = []
+        classes: dict[bytes, int] = {}
         for b in batches:
-            for did, rk, start, size, data in zip(*(b.column(i).to_pylist() for i in (1, 2, 3, 4, 5)), strict=True):
-                at, parts = 0, []
-                for n in np.frombuffer(size, "<i8").tolist():
-                    part = data[at : at + n + length - 1]
-                    at += n + length - 1
-                    part = same.setdefault(part, part)  # one object for equal bytes
-                    if least.setdefault(part, did) > did:
-                        least[part] = did
+            for did, rk, start, size, at, data in zip(*(b.column(i).to_pylist() for i in range(1, 7)), strict=True):
+                place, parts = 0, []
+                did = np.frombuffer(did, "<i8")
+                for d, n, o in zip(did.tolist(), np.frombuffer(size, "<u2").tolist(), at, strict=True):
+                    part = data[place : place + n + length - 1]
+                    place += n + length - 1
+                    before = least.get(part)
+                    if before is None:
+                        least[part] = d
+                        gram = part[o : o + GRAM]
+                        classes[gram] = classes.get(gram, 0) + 1
+                    elif d < before:
+                        least[part] = d
                     parts.append(part)
-                held.append((did, rk, start, size, parts))
+                held.append((did, np.frombuffer(rk, "<i8"), np.frombuffer(start, "<i8"), np.frombuffer(size, "<u2").astype(np.int64), at, parts))
         order = Sorted(length)
-        gone: list[tuple] = []
-        for did, rk, start, size, parts in held:
-            kept: list[tuple[int, int]] = []
-            data = []
-            for a, n, part in zip(np.frombuffer(start, "<i8").tolist(), np.frombuffer(size, "<i8").tolist(), parts, strict=True):
-                if least[part] < did:
-                    gone.append((did, rk, a, a + n + length - 1))
-                else:
-                    kept.append((a, n))
-                    data.append(part)
+        for did, rk, start, size, at, parts in held:
+            first = np.array([least[p] for p in parts], np.int64)
+            gone = first < did
+            if gone.any():
+                yield spans(*merged_spans(did[gone], rk[gone], start[gone], (start + size + length - 1)[gone]))
+            # equal windows have equal anchors: where an anchor has one stretch only, nothing is left to find
+            kept = [i for i in np.flatnonzero(~gone).tolist() if classes[parts[i][at[i] : at[i] + GRAM]] > 1]
             if kept:
-                a, n = (np.array(x, np.int64) for x in zip(*kept, strict=True))
+                n = size[kept]
                 base = np.cumsum(np.concatenate(([0], n[:-1] + length - 1)))
                 inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(b"".join(data), np.uint8), length)[np.repeat(base, n) + inner]
+                windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(b"".join([parts[i] for i in kept]), np.uint8), length)[np.repeat(base, n) + inner]
                 rows = np.zeros(len(windows), order.kind)
                 rows["key"] = np.ascontiguousarray(windows).view(f"S{length}")[:, 0]
-                rows["did"], rows["row"], rows["start"] = did, rk, np.repeat(a, n) + inner
+                rows["did"], rows["row"], rows["start"] = np.repeat(did[kept], n), np.repeat(rk[kept], n), np.repeat(start[kept], n) + inner
                 order.add(rows)
-        del held, least, same
-        if gone:
-            did, rk, a, z = (np.array(x, np.int64) for x in zip(*gone, strict=True))
-            yield spans(*merged_spans(did, rk, a, z))
+        del held, least, classes
         for found in order.repeats():
             yield spans(*merged_spans(found["did"].copy(), found["row"].copy(), found["start"].copy(), found["start"] + length))
 
     made = "did long, rk long, start long, end long"
-    dealt = shipped.where("not spans").repartition(shards, "shard").mapInArrow(sort, made)
-    return dealt.unionByName(shipped.where("spans").mapInArrow(direct, made))
+    dealt = shipped.where("shard >= 0").repartition(shards, "shard").mapInArrow(sort, made)
+    return dealt.unionByName(shipped.where("shard < 0").mapInArrow(direct, made))
 
 
 def row_digest(text: bytes) -> bytes:
