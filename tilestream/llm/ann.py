@@ -97,7 +97,7 @@ def scan(queries: np.ndarray, codes: np.ndarray, books: np.ndarray, half_norm: n
     return out
 
 
-def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10, sample: int = 20_000, block: int = 8192, query_block: int = 512, rerank: int = 64, dim: int | None = None) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10, sample: int = 10_000, block: int = 8192, query_block: int = 512, rerank: int = 64, dim: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row of queries, nearest first, ties to the smaller id.
 
     Vectors that are null, zero, of another length than dim (the commonest one unless given), or hold null or non-finite components take

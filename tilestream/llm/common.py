@@ -17,7 +17,7 @@ FILTER_BYTES = 24 << 20
 #: Text is taken in groups of about so many bytes, whatever Arrow's batches hold.
 GROUP_BYTES = 8 << 20
 #: A reducer folds what it has gathered once that exceeds so many bytes.
-FOLD_BYTES = 48 << 20
+FOLD_BYTES = 24 << 20
 #: Bytes of input for each shard of a packed shuffle.
 SHARD_INPUT = 16 << 20
 

@@ -22,7 +22,7 @@ from tilestream.llm.substring_dedup import cut_report, row_key
 GRAM = 24
 #: A group's places must fit into so many bits.
 PLACE = 31
-GROUP = 4 << 20
+GROUP = 2 << 20
 #: A table of the first documents of exact copies is broadcast up to so many rows (of some 100 bytes); beyond it copies are treated like others.
 COPIES = 300_000
 #: Suffixes in a run that is sorted in memory.
