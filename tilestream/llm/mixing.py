@@ -58,7 +58,7 @@ def hypergeometric(s: str) -> str:
         again = walk("named_struct('w', 1D, 's', b.s, 'x', b.x, 'goal', b.goal)", "down", below)
         return f"transform(array({first}), b -> {again})[0]"
 
-    spread = f"ceil(9 * sqrt({s}.drawn * ({s}.good + 0D) / {s}.total * ({s}.total - {s}.good) / {s}.total * ({s}.total - {s}.drawn) / greatest({s}.total - 1, 1))) + 2"
+    spread = f"ceil(9 * sqrt({s}.drawn * ({s}.good + 0D) / greatest({s}.total, 1) * ({s}.total - {s}.good) / greatest({s}.total, 1) * ({s}.total - {s}.drawn) / greatest({s}.total - 1, 1))) + 2"
     lo, hi = f"greatest(0L, {s}.drawn - ({s}.total - {s}.good))", f"least({s}.drawn, {s}.good)"
     mode = f"least({hi}, greatest({lo}, cast(floor(({s}.drawn + 1D) * ({s}.good + 1D) / ({s}.total + 2D)) AS BIGINT)))"
     bounds = f"transform(array({mode}), m0 -> named_struct('mode', m0, 'low', greatest({lo}, m0 - cast({spread} AS BIGINT)), 'high', least({hi}, m0 + cast({spread} AS BIGINT))))"
