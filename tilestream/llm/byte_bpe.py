@@ -87,7 +87,7 @@ class Transducer:
         if t < 0:
             return True
         if (t, u) not in self._joined:
-            if len(self._joined) > 2_000_000:
+            if len(self._joined) > 600_000:
                 self._joined.clear()
             self._joined[t, u] = self.merged(self.tokens[t] + self.tokens[u]) == [t, u]
         return self._joined[t, u]
@@ -129,7 +129,7 @@ class Encoder(dict):
     """Whole texts to ids. Pieces are found within runs of (white space, other characters), which cannot influence each other; the ids
     of short runs are kept, up to a bound."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most_runs: int = 700_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_runs: int = 500_000):
         super().__init__()
         self.transducer = Transducer(ranks)
         self.ranks = ranks
@@ -233,7 +233,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, keep_ids: bool =
     def run(batches):
         e = encoder(path, pattern)
         gc.disable()  # the tables are large and hold no cycles
-        for b in batches:
+        for b in (whole.slice(a, 512) for whole in batches for a in range(0, max(1, whole.num_rows), 512)):
             out: list[list] = [[], [], [], []]
             for text in b.column(1):
                 ids = e.encode(text.as_py())
