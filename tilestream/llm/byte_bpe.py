@@ -13,6 +13,7 @@ import gc
 import functools
 import hashlib
 import sys
+import threading
 from array import array
 
 import numpy as np
@@ -54,6 +55,8 @@ class Transducer:
         self._reset()
 
     def _reset(self) -> None:
+        for state in getattr(self, "states", {}).values():
+            state.clear()  # states lead to each other
         # a state is the dictionary of its arcs, byte -> (state, tokens)
         self.configs: dict[int, tuple] = {}
         self.states: dict[tuple, dict] = {}
@@ -165,6 +168,13 @@ class Encoder(dict):
             out = array("I", self.transducer.encode(data) if whole is None else (whole,)).tobytes()
         return out
 
+    def release(self) -> None:
+        """Drops what is kept."""
+        self.clear()
+        self.older = {}
+        self.transducer._reset()
+        self.transducer._joined.clear()
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         return b"".join(map(self.__getitem__, self.runs.findall(text)))
@@ -222,6 +232,24 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(load_ranks(data), pattern)
 
 
+#: Seconds after which an idle worker drops its tables, since workers outlive their stage.
+IDLE_S = 4.0
+_idle: list[threading.Timer] = []
+
+
+def _busy() -> None:
+    while _idle:
+        _idle.pop().cancel()
+
+
+def _rest(e: Encoder) -> None:
+    _busy()
+    timer = threading.Timer(IDLE_S, e.release)
+    timer.daemon = True
+    _idle.append(timer)
+    timer.start()
+
+
 def encode_documents(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids, as little-endian unsigned 32-bit integers) of every row.
 
@@ -231,19 +259,27 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, keep_ids: bool =
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids
 
     def run(batches):
+        _busy()
         e = encoder(path, pattern)
-        gc.disable()  # the tables are large and hold no cycles
-        for b in (whole.slice(a, 512) for whole in batches for a in range(0, max(1, whole.num_rows), 512)):
-            out: list[list] = [[], [], [], []]
-            for text in b.column(1):
-                ids = e.encode(text.as_py())
-                back = hashlib.sha256()
-                for part in decode(ids, e.words):
-                    back.update(part.encode())
-                for to, x in zip(out, (len(ids) // 4, hashlib.sha256(ids).hexdigest(), back.hexdigest(), ids if keep_ids else None), strict=True):
-                    to.append(x)
-            cols = [b.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            yield pa.RecordBatch.from_arrays(cols + [pa.array(out[3], pa.binary())] * keep_ids, names=names + ["ids"] * keep_ids)
+        gc.disable()  # the tables are large, and what is dropped is cleared
+        try:
+            for b in (whole.slice(a, 512) for whole in batches for a in range(0, max(1, whole.num_rows), 512)):
+                yield encoded(e, b)
+        finally:
+            gc.enable()
+            _rest(e)
+
+    def encoded(e, b):
+        out: list[list] = [[], [], [], []]
+        for text in b.column(1):
+            ids = e.encode(text.as_py())
+            back = hashlib.sha256()
+            for part in decode(ids, e.words):
+                back.update(part.encode())
+            for to, x in zip(out, (len(ids) // 4, hashlib.sha256(ids).hexdigest(), back.hexdigest(), ids if keep_ids else None), strict=True):
+                to.append(x)
+        cols = [b.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())]
+        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        return pa.RecordBatch.from_arrays(cols + [pa.array(out[3], pa.binary())] * keep_ids, names=names + ["ids"] * keep_ids)
 
     return rows.mapInArrow(run, schema)
