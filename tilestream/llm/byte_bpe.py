@@ -23,6 +23,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tilestream.llm.common import bounded_batches
+
 #: Unicode's White_Space, as \s of the pre-tokenizer's pattern has it.
 SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -132,7 +134,7 @@ class Encoder(dict):
     """Whole texts to ids. Pieces are found within runs of (white space, other characters), which cannot influence each other; the ids
     of short runs are kept, up to a bound."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most_runs: int = 500_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_runs: int = 400_000):
         super().__init__()
         self.transducer = Transducer(ranks)
         self.ranks = ranks
@@ -255,6 +257,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, keep_ids: bool =
 
     Null text is empty: no tokens, digests of nothing. Rows with a null or repeated doc_id are rows like others; other columns aren't read.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids
 

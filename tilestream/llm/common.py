@@ -31,6 +31,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts are long: fewer rows in an Arrow batch keep executors' and workers' buffers small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, rows)
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read back: cuts the lineage and survives lost executors. It goes when the program ends."""
     spark = df.sparkSession
@@ -60,6 +67,7 @@ def shards_for(df: DataFrame, least: int = 24, most: int = 16384) -> int:
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id (null: the smallest long, so it counts as the smallest id) and the text (null: empty)."""
+    bounded_batches(docs.sparkSession)
     return docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("did"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
