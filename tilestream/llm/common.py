@@ -62,7 +62,11 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def shards_for(df: DataFrame, least: int = 24, most: int = 16384) -> int:
-    return int(max(least, min(most, input_bytes(df) // SHARD_INPUT)))
+    """By the input's size; by the shuffle partitions where Spark has no estimate, as for rows from the driver."""
+    size = input_bytes(df)
+    if size >= 1 << 60:
+        return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return int(max(least, min(most, size // SHARD_INPUT)))
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
