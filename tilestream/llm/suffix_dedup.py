@@ -220,7 +220,7 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
             left = left[np.argsort(shard, kind="stable")]
             shard = np.sort(shard)
             edge = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))) if len(left) else left
-            for a, z in zip(edge.tolist(), np.append(edge[1:], len(left)).tolist(), strict=True):
+            for a, z in zip(edge.tolist(), np.append(edge[1:], len(left)).tolist() if len(left) else [], strict=True):
                 j = left[a:z]
                 rows.append((int(shard[a]), *(x[j].astype("<i8").tobytes() for x in (dids[doc], keys_[doc], start)), size[j].astype("<u2").tobytes(), at[j].astype("u1").tobytes(), b"".join([parts[i] for i in j.tolist()])))
             if rows:
