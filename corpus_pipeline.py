@@ -38,7 +38,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality), ("line_dedup", lines), ("jaccard_join", near_duplicates), ("mixing", mixture), ("byte_bpe", tokens)]
 
-#: Jaccard components, risk-controlled thresholds and BPE aren't SQL; tests/llm holds the run against a brute-force version.
+#: Jaccard components, risk-controlled thresholds and BPE aren't SQL; tests/llm holds each stage's operator against a brute-force version.
 ORACLE_SQL = None
 
 

@@ -83,7 +83,7 @@ p AS (SELECT hour, load, lag(load >= 0.7) OVER (ORDER BY hour) AS was FROM h) SE
 shared("pyramid_levels", """WITH l AS (SELECT c_custkey AS level, 2 + c_custkey * 37 AS w, 3 + c_custkey * 29 AS h FROM {customer} WHERE c_custkey < 100),
 t AS (SELECT level, cast(ceil(w / 64.0) AS BIGINT) AS tiles_x, cast(ceil(h / 64.0) AS BIGINT) AS tiles_y FROM l)
 SELECT level, tiles_x, tiles_y, cast(coalesce(sum(tiles_x * tiles_y) OVER (ORDER BY level ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_id FROM t""")
-shared("pan_prediction", """SELECT a.user_id, a.event_id, cast(floor(sum(b.value * exp(-(a.event_id - b.event_id) / 600.0)) * 1000 + 0.0001) AS BIGINT) AS dx_milli, count(*) AS samples FROM {events} a JOIN {events} b ON a.user_id = b.user_id AND b.event_id BETWEEN a.event_id - 1500 AND a.event_id GROUP BY 1, 2""")
+shared("pan_prediction", """SELECT a.user_id, a.event_id, cast(floor(sum(b.value * exp(-(a.event_id - b.event_id) / cast(600 AS DOUBLE))) * 1000 + 0.0001) AS BIGINT) AS dx_milli, count(*) AS samples FROM {events} a JOIN {events} b ON a.user_id = b.user_id AND b.event_id BETWEEN a.event_id - 1500 AND a.event_id GROUP BY 1, 2""")
 shared("progressive_steps", f"""SELECT tx, ty, level, layer, len, coalesce(layer - lag(layer) OVER (PARTITION BY tx, ty, level ORDER BY layer, okey, line), -1) AS step FROM ({PACKETS}) p WHERE tx < 8""")
 
 XY = """h0 AS (SELECT x, y, x AS cx, y AS cy, cast(0 AS BIGINT) AS d, cast({side} AS BIGINT) AS s FROM cells),
