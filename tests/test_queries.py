@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from tilestream import queries as Q
+from tilestream import wire_queries  # noqa: F401
 from tilestream.functions import bitplane, hilbert
 from tilestream.sources import png
 

@@ -44,12 +44,10 @@ def own(oracle: str | None = None):
 
 PACKETS = """SELECT l_orderkey AS okey, l_linenumber AS line, cast(floor(l_partkey / 16) AS BIGINT) % 64 AS tx, l_suppkey % 64 AS ty, l_linenumber % 6 AS level,
     cast(floor(l_quantity) AS BIGINT) % 8 AS layer, 1 + cast(floor(l_extendedprice) AS BIGINT) % 4096 AS len, l_shipdate FROM {lineitem}"""
-VIEWS = """SELECT o_orderkey AS view_id, o_custkey AS session_id, o_orderkey % 48 AS x0, o_custkey % 48 AS y0, 1 + o_orderkey % 9 AS w, 1 + o_custkey % 7 AS h, o_orderkey % 6 AS level FROM {orders} WHERE o_orderkey % 400 = 1"""
+VIEWS = """SELECT o_orderkey AS view_id, o_custkey AS session_id, o_orderkey % 48 AS x0, o_custkey % 48 AS y0, 1 + o_orderkey % 9 AS w, 1 + o_custkey % 7 AS h, o_orderkey % 6 AS level FROM {orders}"""
 UTILITY = "256.0 * pow(2.0, 2 * (7 - layer)) / len"
 
 shared("tile_grid_counts", "SELECT cast(floor(l_partkey / 16) AS BIGINT) AS tx, cast(floor(l_suppkey / 4) AS BIGINT) AS ty, count(*) AS packets, cast(sum(l_linenumber) AS BIGINT) AS layers FROM {lineitem} GROUP BY 1, 2")
-shared("viewport_tiles", f"""WITH v AS ({VIEWS}), t AS (SELECT tx, ty, count(*) AS packets FROM ({PACKETS}) p GROUP BY tx, ty)
-SELECT view_id, tx, ty, packets, (tx BETWEEN x0 AND x0 + w - 1 AND ty BETWEEN y0 AND y0 + h - 1) AS visible FROM v JOIN t ON tx BETWEEN x0 - 1 AND x0 + w AND ty BETWEEN y0 - 1 AND y0 + h""")
 shared("viewport_cap", """WITH v AS (SELECT o_orderkey AS view_id, o_orderkey % 100 AS x0, o_custkey % 100 AS y0, 1 + o_orderkey % 40 AS w, 1 + o_custkey % 40 AS h FROM {orders}),
 c AS (SELECT *, x0 + cast(floor(w / 2) AS BIGINT) AS cx, y0 + cast(floor(h / 2) AS BIGINT) AS cy FROM v)
 SELECT view_id, CASE WHEN w * h > 256 THEN greatest(x0, cx - 8) ELSE x0 END AS ax, CASE WHEN w * h > 256 THEN least(x0 + w - 1, cx + 7) ELSE x0 + w - 1 END AS bx,
@@ -74,17 +72,28 @@ shared("is_lost", """WITH e AS (SELECT user_id, event_id, CASE WHEN event_id % 7
 w AS (SELECT *, sum(sacked) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS above FROM e) SELECT user_id, event_id FROM w WHERE sacked = 0 AND above >= 3""")
 shared("dedup_delivery", """WITH a AS (SELECT user_id, event_id FROM {events} UNION ALL SELECT user_id, event_id FROM {events} WHERE event_id % 5 = 0)
 SELECT user_id, count(DISTINCT event_id) AS delivered, count(*) - count(DISTINCT event_id) AS duplicates FROM a GROUP BY user_id""")
-shared("lru_evict", """WITH c AS (SELECT p_partkey, p_size * 1024 AS bytes, p_partkey % 7 = 0 AS visible FROM {part}),
-s AS (SELECT *, sum(bytes) OVER (ORDER BY visible, p_partkey) AS cum, sum(bytes) OVER () AS total FROM c) SELECT p_partkey, cast(bytes AS BIGINT) AS bytes FROM s WHERE total - (cum - bytes) > 4194304""")
+shared("lru_evict", """WITH c AS (SELECT p_brand, p_partkey, p_size * 1024 AS bytes, p_partkey % 7 = 0 AS visible FROM {part}),
+s AS (SELECT *, sum(bytes) OVER (PARTITION BY p_brand ORDER BY visible, p_partkey) AS cum, sum(bytes) OVER (PARTITION BY p_brand) AS total FROM c) SELECT p_partkey, cast(bytes AS BIGINT) AS bytes FROM s WHERE total - (cum - bytes) > 1048576""")
 shared("viewport_probe", """WITH c AS (SELECT event_id, user_id, ts FROM {events} WHERE event_type = 'click'), v AS (SELECT event_id AS hit_id, user_id AS u, ts AS t FROM {events} WHERE event_type = 'view'),
 j AS (SELECT event_id, hit_id, row_number() OVER (PARTITION BY event_id ORDER BY t, hit_id) AS rn FROM c JOIN v ON u = user_id AND t >= ts AND t < ts + INTERVAL 2 DAY) SELECT event_id, hit_id FROM j WHERE rn = 1""")
 shared("load_shed", """WITH h AS (SELECT date_trunc('hour', ts) AS hour, least(1.0, count(DISTINCT user_id) / 16.0) AS load FROM {events} GROUP BY 1),
 p AS (SELECT hour, load, lag(load >= 0.7) OVER (ORDER BY hour) AS was FROM h) SELECT hour, cast(load AS DOUBLE) AS load FROM p WHERE was IS NULL OR was <> (load >= 0.7)""")
-shared("pyramid_levels", """WITH l AS (SELECT c_custkey AS level, 2 + c_custkey * 37 AS w, 3 + c_custkey * 29 AS h FROM {customer} WHERE c_custkey < 100),
-t AS (SELECT level, cast(ceil(w / 64.0) AS BIGINT) AS tiles_x, cast(ceil(h / 64.0) AS BIGINT) AS tiles_y FROM l)
-SELECT level, tiles_x, tiles_y, cast(coalesce(sum(tiles_x * tiles_y) OVER (ORDER BY level ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_id FROM t""")
+shared("pyramid_levels", """WITH l AS (SELECT cast(floor(c_custkey / 32) AS BIGINT) AS image_id, c_custkey % 32 AS level, 2 + c_custkey * 37 AS w, 3 + c_custkey * 29 AS h FROM {customer}),
+t AS (SELECT image_id, level, cast(ceil(w / 64.0) AS BIGINT) AS tiles_x, cast(ceil(h / 64.0) AS BIGINT) AS tiles_y FROM l)
+SELECT image_id, level, tiles_x, tiles_y, cast(coalesce(sum(tiles_x * tiles_y) OVER (PARTITION BY image_id ORDER BY level ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_id FROM t""")
 shared("pan_prediction", """SELECT a.user_id, a.event_id, cast(floor(sum(b.value * exp(-(a.event_id - b.event_id) / cast(600 AS DOUBLE))) * 1000 + 0.0001) AS BIGINT) AS dx_milli, count(*) AS samples FROM {events} a JOIN {events} b ON a.user_id = b.user_id AND b.event_id BETWEEN a.event_id - 1500 AND a.event_id GROUP BY 1, 2""")
-shared("progressive_steps", f"""SELECT tx, ty, level, layer, len, coalesce(layer - lag(layer) OVER (PARTITION BY tx, ty, level ORDER BY layer, okey, line), -1) AS step FROM ({PACKETS}) p WHERE tx < 8""")
+shared("progressive_steps", f"""SELECT tx, ty, level, layer, len, coalesce(layer - lag(layer) OVER (PARTITION BY tx, ty, level ORDER BY layer, okey, line, len), -1) AS step FROM ({PACKETS}) p""")
+
+
+@own(f"""WITH v AS ({VIEWS.replace("{orders}", "orders")}), t AS (SELECT tx, ty, count(*) AS packets FROM ({PACKETS.replace("{lineitem}", "lineitem")}) p GROUP BY tx, ty)
+SELECT view_id, tx, ty, packets, (tx BETWEEN x0 AND x0 + w - 1 AND ty BETWEEN y0 AND y0 + h - 1) AS visible FROM v JOIN t ON tx BETWEEN x0 - 1 AND x0 + w AND ty BETWEEN y0 - 1 AND y0 + h""")
+def viewport_tiles(spark, sf_dir):
+    """Tiles of each view and of the ring around it. A view names its cells, at most 11 by 9, so tiles join by equality."""
+    v = spark.sql(VIEWS, orders=table(spark, sf_dir, "orders"))
+    t = spark.sql(PACKETS, lineitem=table(spark, sf_dir, "lineitem")).groupBy("tx", "ty").agg(F.count("*").alias("packets"))
+    cells = v.withColumn("tx", F.explode(F.expr("sequence(x0 - 1, x0 + w)"))).withColumn("ty", F.explode(F.expr("sequence(y0 - 1, y0 + h)")))
+    return cells.join(t, ["tx", "ty"]).select("view_id", "tx", "ty", "packets", F.expr("tx BETWEEN x0 AND x0 + w - 1 AND ty BETWEEN y0 AND y0 + h - 1").alias("visible"))
+
 
 XY = """h0 AS (SELECT x, y, x AS cx, y AS cy, cast(0 AS BIGINT) AS d, cast({side} AS BIGINT) AS s FROM cells),
 h AS (SELECT * FROM h0 UNION ALL SELECT x, y,
@@ -221,7 +230,7 @@ def rolling_median64(spark, sf_dir):
 
 @own("SELECT doc_id, cast(p AS INTEGER) AS part, substring(text, cast(p * 1000 + 1 AS INTEGER), 1000) AS data FROM documents, range(0, 1000) r(p) WHERE p * 1000 < length(text)")
 def fragment_tiles(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.posexplode(F.expr("sequence(0, cast(ceil(length(text) / 1000) as int) - 1)")).alias("part", "p"))
+    d = table(spark, sf_dir, "documents").where("length(text) > 0").select("doc_id", "text", F.posexplode(F.expr("sequence(0, cast(ceil(length(text) / 1000) as int) - 1)")).alias("part", "p"))
     return d.select("doc_id", "part", F.substring("text", F.col("p") * 1000 + 1, F.lit(1000)).alias("data"))
 
 

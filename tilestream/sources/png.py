@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -25,28 +26,49 @@ def encode(pixels: np.ndarray, level: int = 6) -> bytes:
 
 def decode(data: bytes) -> np.ndarray:
     """Pixels (height, width, 1 or 3) of a PNG."""
-    if data[:8] != SIGNATURE:
-        raise ValueError("not a PNG")
-    at, head, body = 8, b"", []
-    while at < len(data):
-        (size,) = struct.unpack_from(">I", data, at)
-        kind = data[at + 4 : at + 8]
-        if kind == b"IHDR":
-            head = data[at + 8 : at + 8 + size]
-        elif kind == b"IDAT":
-            body.append(data[at + 8 : at + 8 + size])
-        at += size + 12
+    return np.concatenate([px for _, _, px in strips(data, 512)])
+
+
+def strips(data: bytes, rows: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """First row, the image's height and the pixels of each strip. Chunks are inflated one by one; only a strip's pixels are held."""
+    head, body = _chunks(data)
     w, h, depth, colour, _, _, interlace = struct.unpack(">IIBBBBB", head)
     if depth != 8 or interlace or colour not in CHANNELS:
         raise ValueError("only 8-bit images without interlacing")
     c = CHANNELS[colour]
-    raw = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8).reshape(h, 1 + w * c)
-    out = np.zeros((h, w * c), np.uint8)
-    up = np.zeros(w * c, np.int64)
-    for y in range(h):
-        out[y] = up = _unfilter(int(raw[y, 0]), raw[y, 1:].astype(np.int64), up, c)
-    pixels = out.reshape(h, w, c)
-    return pixels[:, :, : 1 if c < 3 else 3]
+    width, buffer, inflater = 1 + w * c, b"", zlib.decompressobj()
+    up, got, y = np.zeros(w * c, np.int64), [], 0
+    for part in body:
+        while part and y < h:
+            buffer += inflater.decompress(part, width * rows)
+            part = inflater.unconsumed_tail
+            whole = min(len(buffer) // width, h - y)
+            for raw in np.frombuffer(buffer, np.uint8, whole * width).reshape(whole, width):
+                up = _unfilter(int(raw[0]), raw[1:].astype(np.int64), up, c)
+                got.append(up.astype(np.uint8))
+                y += 1
+                if len(got) == rows or y == h:
+                    yield y - len(got), h, np.stack(got).reshape(len(got), w, c)[:, :, : 1 if c < 3 else 3]
+                    got = []
+            buffer = buffer[whole * width :]
+    if y < h:
+        raise ValueError("the image ends early")
+
+
+def _chunks(data: bytes) -> tuple[bytes, Iterator[bytes]]:
+    """The header and the bodies of the IDAT chunks."""
+    if data[:8] != SIGNATURE:
+        raise ValueError("not a PNG")
+
+    def walk() -> Iterator[tuple[bytes, bytes]]:
+        at = 8
+        while at + 8 <= len(data):
+            (size,) = struct.unpack_from(">I", data, at)
+            yield data[at + 4 : at + 8], data[at + 8 : at + 8 + size]
+            at += size + 12
+
+    head = next(body for kind, body in walk() if kind == b"IHDR")
+    return head, (body for kind, body in walk() if kind == b"IDAT")
 
 
 def _unfilter(kind: int, line: np.ndarray, up: np.ndarray, c: int) -> np.ndarray:
