@@ -96,3 +96,23 @@ def test_pyramids(spark, tmp_path):
     _archive(path, 100, 70, 32, leave=7)
     with pytest.raises(ValueError, match="missing"):
         pyramid.listed(path)
+
+
+def test_broken_messages_are_null(spark):
+    from pyspark.sql import functions as F
+
+    from tilestream.functions import wire
+
+    one = spark.range(1)
+    read = lambda c: one.select(c.alias("c")).first().c
+    hexed = lambda s: F.unhex(F.lit(s))
+    assert [bytes(b) for b in read(wire.batch_packets(hexed("0001AA0002BBCC")))] == [b"\xaa", b"\xbb\xcc"]
+    for bad in ("", "00", "0001", "0000", "0002AA", "0001AA00", "0001AA" * 17):
+        assert read(wire.batch_packets(hexed(bad))) is None, bad
+    assert len(read(wire.batch_packets(hexed("0001AA" * 16)))) == 16
+    assert read(wire.batch(F.array(hexed("AA"), hexed("")))) is None and read(wire.batch(F.array().cast("array<binary>"))) is None
+    assert read(wire.hello(F.lit(3), F.lit(1))) is None and bytes(read(wire.hello(F.lit(2), F.lit(1)))) == b"\x01\x01\x02"
+    assert read(wire.viewport_fields(hexed("04" + "00" * 17))) is None
+    assert read(wire.forget_fields(hexed("060001"))) is None and read(wire.ack_fields(hexed("03" + "00" * 16 + "01"))) is None
+    assert bytes(read(wire.unmasked(hexed("7F9F4D5158"), hexed("37FA213D")))) == b"Hello"
+    assert read(wire.parsed(wire.DATA, hexed("02"))) is None

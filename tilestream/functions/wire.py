@@ -70,3 +70,78 @@ def ack_fields(frame: Column) -> Column:
     part = lambda i, k: F.conv(F.substring(hexed, 37 + 16 * i + 8 * k, F.lit(8)), 16, 10).cast("long")
     blocks = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.struct(part(i, 0).alias("start"), part(i, 1).alias("end")))).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>"))
     return F.when((F.length(frame) == 18 + 8 * n) & (num(1, 1) == T_ACK), F.struct(num(2, 4).alias("ack"), num(6, 4).alias("rwnd"), num(10, 8).alias("echo_ts"), blocks.alias("blocks")))
+
+
+VIEWPORT = (("type", 1), ("x", 4), ("y", 4), ("w", 4), ("h", 4), ("level", 1))
+PREDICTION = (("dx", 1), ("dy", 1), ("confidence", 1))
+MOST_PACKETS, MOST_BATCH, MOST_PLACE = 16, 32768, 2**31 - 1
+
+
+def number(frame: Column, at: Column | int, width: int) -> Column:
+    """The unsigned big-endian integer at a place counted from 1."""
+    at = F.lit(at) if isinstance(at, int) else at
+    return F.conv(F.substring(F.hex(frame), 2 * at - 1, F.lit(2 * width)), 16, 10).cast("long")
+
+
+def hello(mode: Column, version: Column) -> Column:
+    """Null for modes other than 0 to 2 and versions other than 1 and 2."""
+    return F.when(mode.between(0, 2) & version.between(1, 2), header((("type", 1), ("version", 1), ("mode", 1)), {"type": F.lit(T_HELLO), "version": version, "mode": mode}))
+
+
+def viewport(x: Column, y: Column, w: Column, h: Column, level: Column, dx: Column | None = None, dy: Column | None = None, confidence: Column | None = None) -> Column:
+    """18 bytes, or 21 with a prediction: dx and dy from -127 to 127, confidence from 0 to 255, cut to those."""
+    out = header(VIEWPORT, {"type": F.lit(T_VIEWPORT), "x": x, "y": y, "w": w, "h": h, "level": level})
+    if dx is None:
+        return out
+    cut = lambda v, a, b: F.greatest(F.lit(a), F.least(F.lit(b), F.floor(v + 0.5)))
+    return F.concat(out, header(PREDICTION, {"dx": cut(dx, -127, 127), "dy": cut(dy, -127, 127), "confidence": cut(confidence, 0, 255)}))
+
+
+def viewport_fields(frame: Column) -> Column:
+    """x, y, w, h, level, dx, dy and confidence in units; null for other lengths, empty areas and places beyond 31 bits."""
+    x, y, w, h = (number(frame, at, 4) for at in (2, 6, 10, 14))
+    unit = lambda at: F.greatest(F.lit(-1.0), F.when(number(frame, at, 1) > 127, number(frame, at, 1) - 256).otherwise(number(frame, at, 1)) / 127.0)
+    long = F.length(frame) == 21
+    valid = (long | (F.length(frame) == 18)) & (number(frame, 1, 1) == T_VIEWPORT) & (x <= MOST_PLACE) & (y <= MOST_PLACE) & w.between(1, MOST_PLACE) & h.between(1, MOST_PLACE) & (x + w <= MOST_PLACE) & (y + h <= MOST_PLACE)
+    extra = [F.when(long, v).otherwise(F.lit(0.0)).alias(n) for n, v in (("dx", unit(19)), ("dy", unit(20)), ("confidence", number(frame, 21, 1) / 255.0))]
+    return F.when(valid, F.struct(x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h"), number(frame, 18, 1).alias("level"), *extra))
+
+
+def forget(tiles: Column) -> Column:
+    """Type, number of tiles and the tiles."""
+    head = header((("type", 1), ("n", 2)), {"type": F.lit(T_FORGET), "n": F.size(tiles)})
+    return F.concat(head, F.unhex(F.array_join(F.transform(tiles, lambda t: F.lpad(F.hex(t.cast("long")), 8, "0")), "")))
+
+
+def forget_fields(frame: Column) -> Column:
+    """The tiles; null unless the length is exactly that of their number."""
+    n = number(frame, 2, 2)
+    tiles = F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(n, F.lit(1)) - 1), lambda i: number(frame, (4 + 4 * i).cast("int"), 4))).otherwise(F.array().cast("array<bigint>"))
+    return F.when((F.length(frame) == 3 + 4 * n) & (number(frame, 1, 1) == T_FORGET), tiles)
+
+
+def batch(packets: Column) -> Column:
+    """Each packet behind its length; null for no packets, too many, an empty one or too many bytes."""
+    out = F.unhex(F.array_join(F.transform(packets, lambda p: F.concat(F.lpad(F.hex(F.length(p).cast("long")), 4, "0"), F.hex(p))), ""))
+    return F.when(F.size(packets).between(1, MOST_PACKETS) & F.forall(packets, lambda p: F.length(p) > 0) & (F.length(out) <= MOST_BATCH), out)
+
+
+def batch_packets(payload: Column) -> Column:
+    """The packets of a batch; null where its framing is broken. A batch holds at most 16, so 16 steps read any."""
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<binary>").alias("got"), F.lit(True).alias("fine"))
+
+    def step(a: Column, _: Column) -> Column:
+        size = F.coalesce(number(payload, a["at"], 2), F.lit(0)).cast("int")
+        more = a["fine"] & (a["at"] <= F.length(payload))
+        whole = (F.length(payload) - a["at"] >= 1) & (size > 0) & (a["at"] + 1 + size <= F.length(payload))
+        part = F.unhex(F.substring(F.hex(payload), 2 * a["at"] + 3, 2 * size))
+        return F.when(more & whole, F.struct((a["at"] + 2 + size).alias("at"), F.concat(a["got"], F.array(part)).alias("got"), F.lit(True).alias("fine"))).otherwise(F.struct(a["at"].alias("at"), a["got"].alias("got"), (a["fine"] & ~more).alias("fine")))
+
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(MOST_PACKETS)), start, step)
+    return F.when((F.length(payload) <= MOST_BATCH) & end["fine"] & (end["at"] == F.length(payload) + 1) & (F.size(end["got"]) > 0), end["got"])
+
+
+def unmasked(data: Column, key: Column) -> Column:
+    """Bytes XOR a key of four bytes, again and again; the same again masks them."""
+    xor = F.transform(F.sequence(F.lit(0), F.length(data) - 1), lambda i: F.lpad(F.hex(number(data, i + 1, 1).bitwiseXOR(number(key, i % 4 + 1, 1))), 2, "0"))
+    return F.when(F.length(data) == 0, data).otherwise(F.unhex(F.array_join(xor, "")))

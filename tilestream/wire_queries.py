@@ -118,3 +118,29 @@ def image_layers(spark, sf_dir):
     """Packets of each level and layer; the bytes depend on the zlib build, so there is no SQL."""
     p = tiled.encode(_strips(spark, sf_dir), 64, 3, 16)
     return p.groupBy("level", "layer").agg(F.count("*").alias("packets"), F.sum(F.length("data")).alias("bytes"))
+
+
+@own("SELECT o_orderkey AS view_id, o_orderkey AS x, o_custkey AS y, 1 + o_orderkey % 9 AS w, 1 + o_custkey % 7 AS h, o_orderkey % 6 AS level, (o_orderkey % 255 - 127) / 127.0::DOUBLE AS dx, o_custkey % 256 / 255.0::DOUBLE AS confidence FROM orders")
+def viewport_messages(spark, sf_dir):
+    """VIEWPORT messages with predictions written and read."""
+    o = table(spark, sf_dir, "orders")
+    b = wire.viewport(F.col("o_orderkey"), F.col("o_custkey"), 1 + F.col("o_orderkey") % 9, 1 + F.col("o_custkey") % 7, F.col("o_orderkey") % 6, F.col("o_orderkey") % 255 - 127, F.lit(0), F.col("o_custkey") % 256)
+    return o.select(F.col("o_orderkey").alias("view_id"), wire.viewport_fields(b).alias("v")).select("view_id", "v.x", "v.y", "v.w", "v.h", "v.level", "v.dx", "v.confidence")
+
+
+@own("SELECT o_orderkey, o_orderkey % 4 AS n, CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey + o_orderkey % 4 ELSE -1 END AS last_tile FROM orders")
+def forget_messages(spark, sf_dir):
+    """FORGET messages of up to three tiles written and read."""
+    tiles = F.slice(F.array(*(F.col("o_orderkey") + i for i in (1, 2, 3))), F.lit(1), (F.col("o_orderkey") % 4).cast("int"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", wire.forget_fields(wire.forget(tiles)).alias("t"))
+    return o.select("o_orderkey", F.size("t").cast("long").alias("n"), F.coalesce(F.get("t", F.size("t") - 1), F.lit(-1)).alias("last_tile"))
+
+
+@own("SELECT p_partkey, cast(3 AS BIGINT) AS n, p_brand || '/' || p_name || '/' || p_type AS joined FROM part WHERE p_brand <> '' AND p_name <> '' AND p_type <> ''")
+def packet_batches(spark, sf_dir):
+    """Three packets in a batch, written, masked, unmasked and read."""
+    p = table(spark, sf_dir, "part").select("p_partkey", wire.batch(F.array(*(F.encode(c, "UTF-8") for c in ("p_brand", "p_name", "p_type")))).alias("b"))
+    key = F.unhex(F.lit("37FA213D"))
+    p = p.where("b IS NOT NULL").select("p_partkey", wire.unmasked(F.col("b"), key).alias("m"))
+    p = p.select("p_partkey", wire.batch_packets(wire.unmasked(F.col("m"), key)).alias("g"))
+    return p.select("p_partkey", F.size("g").cast("long").alias("n"), F.array_join(F.transform("g", lambda x: F.decode(x, "UTF-8")), "/").alias("joined"))
