@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -126,22 +128,40 @@ def batch(packets: Column) -> Column:
     return F.when(F.size(packets).between(1, MOST_PACKETS) & F.forall(packets, lambda p: F.length(p) > 0) & (F.length(out) <= MOST_BATCH), out)
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def batch_packets(payload: Column) -> Column:
     """The packets of a batch; null where its framing is broken. A batch holds at most 16, so 16 steps read any."""
+    return bound(F.hex(payload), _packets)
+
+
+def _packets(digits: Column) -> Column:
+    """As batch_packets, of hex digits; the state is the place of the next length, the packets so far and whether the framing holds."""
+    length = F.length(digits)
     start = F.struct(F.lit(1).alias("at"), F.array().cast("array<binary>").alias("got"), F.lit(True).alias("fine"))
 
     def step(a: Column, _: Column) -> Column:
-        size = F.coalesce(number(payload, a["at"], 2), F.lit(0)).cast("int")
-        more = a["fine"] & (a["at"] <= F.length(payload))
-        whole = (F.length(payload) - a["at"] >= 1) & (size > 0) & (a["at"] + 1 + size <= F.length(payload))
-        part = F.unhex(F.substring(F.hex(payload), 2 * a["at"] + 3, 2 * size))
-        return F.when(more & whole, F.struct((a["at"] + 2 + size).alias("at"), F.concat(a["got"], F.array(part)).alias("got"), F.lit(True).alias("fine"))).otherwise(F.struct(a["at"].alias("at"), a["got"].alias("got"), (a["fine"] & ~more).alias("fine")))
+        size = F.coalesce(F.conv(F.substring(digits, a["at"], F.lit(4)), 16, 10).cast("int"), F.lit(0))
+        return bound(size, lambda n: F.when(~a["fine"] | (a["at"] > length), a).otherwise(taken(a, n)))
+
+    def taken(a: Column, n: Column) -> Column:
+        whole = (a["at"] + 3 <= length) & (n > 0) & (a["at"] + 3 + 2 * n <= length)
+        more = F.when(whole, F.concat(a["got"], F.array(F.unhex(F.substring(digits, a["at"] + 4, 2 * n))))).otherwise(a["got"])
+        return F.struct((a["at"] + 4 + 2 * n).alias("at"), more.alias("got"), whole.alias("fine"))
 
     end = F.aggregate(F.sequence(F.lit(1), F.lit(MOST_PACKETS)), start, step)
-    return F.when((F.length(payload) <= MOST_BATCH) & end["fine"] & (end["at"] == F.length(payload) + 1) & (F.size(end["got"]) > 0), end["got"])
+    return bound(end, lambda e: F.when((length <= 2 * MOST_BATCH) & e["fine"] & (e["at"] == length + 1) & (F.size(e["got"]) > 0), e["got"]))
 
 
 def unmasked(data: Column, key: Column) -> Column:
     """Bytes XOR a key of four bytes, again and again; the same again masks them."""
-    xor = F.transform(F.sequence(F.lit(0), F.length(data) - 1), lambda i: F.lpad(F.hex(number(data, i + 1, 1).bitwiseXOR(number(key, i % 4 + 1, 1))), 2, "0"))
-    return F.when(F.length(data) == 0, data).otherwise(F.unhex(F.array_join(xor, "")))
+    byte = lambda digits, i: F.conv(F.substring(digits, 2 * i + 1, F.lit(2)), 16, 10).cast("long")
+
+    def xor(digits: Column) -> Column:
+        places = F.sequence(F.lit(0), F.greatest(F.length(digits) / 2, F.lit(1)).cast("int") - 1)
+        return bound(F.hex(key), lambda k: F.array_join(F.transform(places, lambda i: F.lpad(F.hex(byte(digits, i).bitwiseXOR(byte(k, i % 4))), 2, "0")), ""))
+
+    return F.when(F.length(data) == 0, data).otherwise(F.unhex(bound(F.hex(data), xor)))
