@@ -311,3 +311,20 @@ def test_nearest(spark):
         if q == 500:
             assert [got[q][k] for k in range(1, 11)] == best
     assert set(got) == set(range(0, 900, 100)) and hits >= 81
+
+
+def test_nearest_in_a_tight_cluster(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(8192, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = rng.permutation(8192)[:2730]
+    x[near] = x[near[0]] + 0.01 * rng.normal(size=(2730, 64)) / 8
+    x = x.astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    got = defaultdict(dict)
+    for r in ann.search(df, df.where("vec_id % 97 = 0")).collect():
+        got[r.query_id][r["rank"]] = r.vec_id
+    for q in range(0, 8192, 97):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        assert [got[q][k] for k in range(1, 11)] == np.lexsort((np.arange(8192), d))[:10].tolist()

@@ -3,7 +3,8 @@
 Nearest by Euclidean distance is turned into largest inner product: x becomes (x, -|x|^2/2) and q becomes (q, 1). The first part is
 product-quantised with 16 codewords for every two dimensions. Codewords and codes minimise a loss that weighs the residual parallel to
 the vector more than the orthogonal one, since only the parallel part moves the scores of the vector's best queries. A scan adds up one
-table entry for each code; the best of each block are ranked again by exact distance.
+table entry for each code. Its score is off by no more than |q| times the norm of the vector's residual, which is stored with the code:
+exact distances are taken until no vector left could be among the nearest.
 """
 
 from __future__ import annotations
@@ -78,6 +79,12 @@ def train(x: np.ndarray, rounds: int = 6, threshold: float = 0.2) -> tuple[np.nd
     return books, eta
 
 
+def residual(x: np.ndarray, codes: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """Norms of the rows less their codewords."""
+    r = _pieces(x) - books[np.arange(len(books))[None], codes]
+    return np.sqrt((r * r).sum((1, 2)))
+
+
 def packed(codes: np.ndarray) -> np.ndarray:
     """Two codes in a byte."""
     codes = np.pad(codes, ((0, 0), (0, codes.shape[1] % 2)))
@@ -97,13 +104,39 @@ def scan(queries: np.ndarray, codes: np.ndarray, books: np.ndarray, half_norm: n
     return out
 
 
+def nearest(q: np.ndarray, vecs: np.ndarray, upper: np.ndarray, open_: np.ndarray, k: int, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and distances of the k nearest rows of those open: rows are measured by falling upper bound of their score, `first` of them and
+    then twice as many each time, until no bound reaches the k-th score found. Ties go to the smaller place; bounds that are not numbers are
+    measured."""
+    upper = np.where(np.isnan(upper), np.inf, upper)
+    left = np.flatnonzero(open_)
+    kept, dist = left[:0], np.zeros(0)
+    half = (q * q).sum() / 2
+    size = first
+    while len(left):
+        if len(left) > size:
+            part = np.argpartition(-upper[left], size)
+            best, left = left[part[:size]], left[part[size:]]
+        else:
+            best, left = left, left[:0]
+        kept = np.concatenate((kept, best))
+        dist = np.concatenate((dist, np.sqrt(((vecs[best] - q) ** 2).sum(1))))
+        order = np.lexsort((kept, dist))[:k]
+        kept, dist = kept[order], dist[order]
+        if len(kept) == k:
+            d = dist[-1] * dist[-1] / 2
+            left = left[~(upper[left] < half - d - 1e-12 * (half + d))]
+        size *= 2
+    return kept, dist
+
+
 def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10, sample: int = 10_000, block: int = 8192, query_block: int = 512, rerank: int = 64, dim: int | None = None) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each row of queries, nearest first, ties to the smaller id.
+    """query_id, rank, vec_id, score: the k nearest of each row of queries, nearest first, ties to the smaller id.
 
     Vectors that are null, zero, of another length than dim (the commonest one unless given), or hold null or non-finite components take
     no part. The codebooks come from the `sample` rows of smallest hash; every row is indexed. Rows are dealt to blocks of about `block`
     vectors and queries to blocks of about `query_block`; each pair of blocks is one task's table scan, whose best `rerank` are measured
-    exactly. A row is never its own candidate; rows that repeat an id are one identity and each takes part.
+    exactly, and after them every row whose bound reaches the k-th found: the k nearest of a block are exact. A row is never its own candidate; rows that repeat an id are one identity and each takes part.
     """
     def usable(df: DataFrame, vid: str, vec: str) -> DataFrame:
         v = F.col(vec).cast("array<double>")
@@ -130,10 +163,11 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_c
     def index(batches):
         for b in batches:
             x = np.stack(b.column(1).to_numpy(zero_copy_only=False)) if len(b) else np.zeros((0, dim))
-            codes = packed(encode(x, books, eta)) if len(b) else np.zeros((0, 1), np.uint8)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c.tobytes() for c in codes], pa.binary())], names=["id", "vec", "code"])
+            codes = encode(x, books, eta) if len(b) else np.zeros((0, len(books)), np.uint8)
+            off = residual(x, codes, books)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c.tobytes() for c in packed(codes)], pa.binary()), pa.array(off)], names=["id", "vec", "code", "off"])
 
-    indexed = rows.mapInArrow(index, "id long, vec array<double>, code binary").select("id", "vec", "code", F.pmod(F.xxhash64("id", F.lit("row")), F.lit(n_blocks)).alias("rb"))
+    indexed = rows.mapInArrow(index, "id long, vec array<double>, code binary, off double").select("id", "vec", "code", "off", F.pmod(F.xxhash64("id", F.lit("row")), F.lit(n_blocks)).alias("rb"))
     indexed = indexed.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1)))) if n_query_blocks > 1 else indexed.withColumn("qb", F.lit(0))
     asked = asked.select("id", "vec", F.pmod(F.xxhash64("id", F.lit("query")), F.lit(n_query_blocks)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("rb"))
 
@@ -144,21 +178,20 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_c
         x = x.sort_values("id", kind="stable")
         ids, vecs = x["id"].to_numpy(), np.stack(x["vec"].to_numpy())
         codes = np.stack([np.frombuffer(c, np.uint8) for c in x["code"]])
+        off = x["off"].to_numpy()
         half = (vecs * vecs).sum(1) / 2
+        # the scan adds in single precision: each of its sums is off by a part of the sizes of what it adds up
+        single = (codes.shape[1] + 8) * 2.0**-23
+        length = np.sqrt(2 * half) + off
         qids, qvecs = q["id"].to_numpy(), np.stack(q["vec"].to_numpy())
         made = []
         step = max(1, (16 << 20) // (4 * len(ids)))
         for a in range(0, len(qids), step):
-            near = -scan(qvecs[a : a + step], codes, books, half)
-            for i, own in enumerate(near):
-                own[ids == qids[a + i]] = np.inf
-                # the best rerank, and among equal scores the smallest ids: rows are in order of id
-                edge = np.partition(own, rerank)[rerank] if len(own) > rerank else np.inf
-                best = np.flatnonzero(own < edge)
-                best = np.concatenate((best, np.flatnonzero(own == edge)[: max(0, rerank - len(best))])) if np.isfinite(edge) else np.flatnonzero(np.isfinite(own))
-                exact = np.sqrt(((vecs[best] - qvecs[a + i]) ** 2).sum(1))
-                first = np.lexsort((ids[best], exact))[:k]
-                made.append(pd.DataFrame({"query_id": qids[a + i], "vec_id": ids[best[first]], "score": exact[first]}))
+            for i, near in enumerate(scan(qvecs[a : a + step], codes, books, half), a):
+                norm = np.sqrt((qvecs[i] * qvecs[i]).sum())
+                upper = near + norm * off + single * (half + norm * length)
+                places, exact = nearest(qvecs[i], vecs, upper, ids != qids[i], k, max(rerank, k))  # rows are in order of id
+                made.append(pd.DataFrame({"query_id": qids[i], "vec_id": ids[places], "score": exact}))
         return pd.concat(made) if made else empty
 
     found = asked.groupBy("qb", "rb").cogroup(indexed.groupBy("qb", "rb")).applyInPandas(pair, "query_id long, vec_id long, score double")
