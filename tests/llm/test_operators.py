@@ -328,3 +328,29 @@ def test_nearest_in_a_tight_cluster(spark):
         d = np.sqrt(((x - x[q]) ** 2).sum(1))
         d[q] = np.inf
         assert [got[q][k] for k in range(1, 11)] == np.lexsort((np.arange(8192), d))[:10].tolist()
+
+
+def test_substring_dedup_at_the_edges(spark):
+    """Passages not much longer than the shortest, and short documents that repeat as a whole."""
+    rng = random.Random(9)
+    word = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    rows, shared = [], {}
+    for i in range(60):
+        passage = word(40)
+        for j in (i, 100 + i):
+            a, b = f"{word(50)} {'<' if j < 100 else '['}", f"{'>' if j < 100 else ']'} {word(50)}"
+            rows.append((j, a + passage + b))
+            shared[j] = (len(a), len(passage), a + b)
+    rows += [(300, "one two"), (301, "one two"), (302, "one two three"), (303, ""), (304, ""), (300, "one two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = defaultdict(list)
+    for r in substring_dedup.substring_dedup_report(docs).collect():
+        got[r.doc_id].append(r)
+    whole = 0
+    for i in range(60):
+        assert got[i][0].n_removed == 0
+        r = got[100 + i][0]
+        whole += r.n_removed == shared[100 + i][1] and r.kept_sha256 == hashlib.sha256(shared[100 + i][2].encode()).hexdigest() and r.sources == [i]
+    assert whole == 60
+    assert [(r.n_removed, r.sources) for r in got[301]] == [(7, [300])]
+    assert all(r.n_removed == 0 for i in (300, 302, 303, 304) for r in got[i]) and len(got[300]) == 2

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilestream.llm.common import PAIR, groups, id_text, key_counts, key_filter, mixed, real_id, shards_for
+from tilestream.llm.common import PAIR, groups, id_text, key_counts, key_filter, mixed, real_id, shards_for, written
 
 WINDOW = 32
 GEAR = (mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
@@ -93,7 +93,8 @@ def row_key(text: bytes) -> int:
 
 
 def repeated_chunks(texts: DataFrame, reach: int, what: str = "chunks") -> DataFrame:
-    """did, rk, start, end, first: each chunk (bytes of the document) whose digest an earlier one has, with the document of the first.
+    """did, rk, start, end, before, after, f: each chunk (bytes of the document) whose digest an earlier one has, the lengths of the chunks
+    beside it in its document, and id, start and row key of the first.
 
     Digests are counted first; only chunks of digests that occur twice are then dealt by digest, and skewed digests are split.
     """
@@ -111,34 +112,95 @@ def repeated_chunks(texts: DataFrame, reach: int, what: str = "chunks") -> DataF
             joined, own, begin, end = chunks(group, reach)
             d = digests(joined, begin, end)
             hit = wanted.value.contains(d["k1"])
-            own, begin, end, d = own[hit], begin[hit], end[hit], d[hit]
+            length, inner = end - begin, np.append(own[1:] == own[:-1], False)[: len(own)]
+            before = np.concatenate(([0], np.where(inner, length, 0)))[: len(own)]
+            after = np.where(inner, np.append(length[1:], 0)[: len(own)], 0)
+            own, begin, end, before, after, d = own[hit], begin[hit], end[hit], before[hit], after[hit], d[hit]
             lengths = np.array([len(t) for t in group], np.int64)
             gap = 2 * WINDOW + reach
             starts = np.cumsum(np.concatenate(([gap], lengths[:-1] + gap)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(np.array([row_key(t) for t in group], np.int64)[own]), pa.array(begin - starts[own]), pa.array(end - starts[own]), pa.array(d["k1"].view(np.int64) if len(d) else np.zeros(0, np.int64)), pa.array(d["k2"].copy().view(np.int64))], names=["did", "rk", "start", "end", "k1", "k2"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(np.array([row_key(t) for t in group], np.int64)[own]), pa.array(begin - starts[own]), pa.array(end - starts[own]), pa.array(before, pa.int64()), pa.array(after, pa.int64()), pa.array(d["k1"].view(np.int64) if len(d) else np.zeros(0, np.int64)), pa.array(d["k2"].copy().view(np.int64))], names=["did", "rk", "start", "end", "before", "after", "k1", "k2"])
 
-    held = texts.mapInArrow(hits, "did long, rk long, start long, end long, k1 long, k2 long")
-    first = held.groupBy("k1", "k2").agg(F.min(F.struct("did", "start")).alias("f"), F.count("*").alias("n")).where("n > 1").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), "f")
+    held = texts.mapInArrow(hits, "did long, rk long, start long, end long, before long, after long, k1 long, k2 long")
+    first = held.groupBy("k1", "k2").agg(F.min(F.struct("did", "start", "rk")).alias("f"), F.count("*").alias("n")).where("n > 1").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), "f")
     found = held.join(first, (F.col("k1") == F.col("__k1")) & (F.col("k2") == F.col("__k2")))
-    return found.where((F.col("did") != F.col("f.did")) | (F.col("start") != F.col("f.start"))).select("did", "rk", "start", "end", F.col("f.did").alias("first"))
+    return found.where((F.col("did") != F.col("f.did")) | (F.col("start") != F.col("f.start"))).select("did", "rk", "start", "end", "before", "after", "f")
 
 
-def removed_spans(texts: DataFrame, reach: int = 24, least: int = 100) -> DataFrame:
-    """did, rk, spans (array of start, end) and sources (ids of the documents that keep the text), where runs of repeated chunks reach `least` bytes."""
-    found = repeated_chunks(texts, reach).distinct()
-    own = found.groupBy("did", "rk").agg(F.array_sort(F.collect_list(F.struct("start", "end", "first"))).alias("c"))
+def run_edges(found: DataFrame, reach: int) -> DataFrame:
+    """Two rows for each run of repeated chunks, side 0 and 1: its sources, and what lies outside on that side: n bytes at `at` in the
+    document and at `sat` in the source (sdid, srk). Cuts depend on WINDOW + reach bytes before them and reach after, so what is shared
+    beyond the run can't go further than the chunk beside it and that."""
+    own = found.groupBy("did", "rk").agg(F.array_sort(F.collect_list(F.struct("start", "end", "before", "after", "f"))).alias("c"))
+    names = ["did", "rk", "start", "end", "side", "sources", "at", "n", "sdid", "srk", "sat"]
+    kinds = [pa.list_(pa.int64()) if x == "sources" else pa.int64() for x in names]
 
     def run(batches):
         for b in batches:
-            ids, keys, spans, sources = [], [], [], []
+            out = []
             for did, rk, c in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 joined: list[list] = []
                 for x in c:
                     if joined and joined[-1][1] >= x["start"]:
-                        joined[-1][1] = max(joined[-1][1], x["end"])
-                        joined[-1][2].add(x["first"])
+                        last = joined[-1]
+                        if x["end"] >= last[1]:
+                            last[1], last[4] = x["end"], x
+                        last[2].add(x["f"]["did"])
+                    else:
+                        joined.append([x["start"], x["end"], {x["f"]["did"]}, x, x])
+                for start, end, sources, a, z in joined:
+                    n = min(a["before"] + WINDOW + reach + 1, start, a["f"]["start"])
+                    out.append((did, rk, start, end, 0, sorted(sources), start - n, n, a["f"]["did"], a["f"]["rk"], a["f"]["start"] - n))
+                    n = z["after"] + reach + 1 if z["after"] else 0
+                    out.append((did, rk, start, end, 1, sorted(sources), end, n, z["f"]["did"], z["f"]["rk"], z["f"]["start"] + z["end"] - z["start"]))
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True) if out else [[]] * len(names), kinds, strict=True)], names=names)
+
+    return own.mapInArrow(run, ", ".join(f"{x} {'array<long>' if x == 'sources' else 'long'}" for x in names))
+
+
+def shared_length(a: bytes, b: bytes, backwards: bool) -> int:
+    """How many bytes a and b have in common at the front, or at the back."""
+    n = min(len(a), len(b))
+    if not n:
+        return 0
+    x, y = (np.frombuffer(t[-n:][::-1] if backwards else t[:n], np.uint8) for t in (a, b))
+    wrong = x != y
+    return int(wrong.argmax()) if wrong.any() else n
+
+
+def removed_spans(texts: DataFrame, reach: int = 24, least: int = 100, what: str = "edges") -> DataFrame:
+    """did, rk, spans (array of start, end) and sources (ids of the documents that keep the text), where runs of repeated chunks reach `least` bytes.
+
+    Before its length counts, a run grows byte by byte for as long as the document of its outer chunk's first occurrence goes on alike.
+    Documents of less than `least` bytes go where another has the same text.
+    """
+    keyed = texts.withColumn("rk", F.xxhash64("text"))
+    edges = written(run_edges(repeated_chunks(texts, reach).distinct(), reach), what)
+    asked = edges.select("did", "rk", "at", "n").union(edges.select("sdid", "srk", "sat", "n")).where("n > 0")
+    asked = asked.groupBy("did", "rk").agg(F.collect_set(F.struct("at", "n")).alias("asked"))
+    pieces = keyed.join(asked, ["did", "rk"]).withColumn("b", F.col("text").cast("binary"))
+    pieces = pieces.select("did", "rk", F.explode(F.expr("transform(asked, x -> struct(x.at AS at, x.n AS n, substring(b, cast(x.at + 1 AS int), cast(x.n AS int)) AS piece))")).alias("p"))
+    pieces = pieces.select("did", "rk", "p.*").dropDuplicates(["did", "rk", "at", "n"])
+    both = edges.join(pieces.withColumnRenamed("piece", "mine"), ["did", "rk", "at", "n"], "left")
+    both = both.join(pieces.toDF("sdid", "srk", "sat", "n", "its"), ["sdid", "srk", "sat", "n"], "left")
+    own = both.groupBy("did", "rk").agg(F.collect_list(F.struct("start", "end", "side", "sources", "mine", "its")).alias("e"))
+
+    def run(batches):
+        for b in batches:
+            ids, keys, spans, sources = [], [], [], []
+            for did, rk, e in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                grown: dict[int, list] = {}
+                for x in e:
+                    g = grown.setdefault(x["start"], [x["start"], x["end"], set(x["sources"])])
+                    more = shared_length(x["mine"] or b"", x["its"] or b"", x["side"] == 0)
+                    g[x["side"]] += more if x["side"] else -more
+                joined: list[list] = []
+                for g in sorted(grown.values(), key=lambda g: g[:2]):
+                    if joined and joined[-1][1] >= g[0]:
+                        joined[-1][1] = max(joined[-1][1], g[1])
+                        joined[-1][2] |= g[2]
                     else:
-                        joined.append([x["start"], x["end"], {x["first"]}])
+                        joined.append(g)
                 kept = [j for j in joined if j[1] - j[0] >= least]
                 if kept:
                     ids.append(did)
@@ -147,7 +209,11 @@ def removed_spans(texts: DataFrame, reach: int = 24, least: int = 100) -> DataFr
                     sources.append(sorted(set().union(*(j[2] for j in kept)) - {did}))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(sources, pa.list_(pa.int64()))], names=["did", "rk", "spans", "sources"])
 
-    return own.mapInArrow(run, "did long, rk long, spans array<struct<start:long,end:long>>, sources array<long>")
+    long = own.mapInArrow(run, "did long, rk long, spans array<struct<start:long,end:long>>, sources array<long>")
+    brief = keyed.where(F.octet_length("text").between(1, least - 1))
+    first = brief.groupBy("text").agg(F.min("did").alias("first"), F.max("did").alias("last")).where("first < last")
+    whole = brief.join(first, "text").where("did > first").withColumn("size", F.octet_length("text").cast("long")).select("did", "rk", "size", "first").distinct()
+    return long.unionByName(whole.select("did", "rk", F.expr("array(struct(0L AS start, size AS end))").alias("spans"), F.array("first").alias("sources")))
 
 
 def cut_report(texts: DataFrame, spans: DataFrame) -> DataFrame:
@@ -176,7 +242,7 @@ def substring_dedup_report(docs: DataFrame, reach: int = 24, least: int = 100) -
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and sources of every row.
 
     The first occurrence of a chunk, by doc_id and place, stays; repeats go where a run of them has at least `least` bytes, in the
-    same document too. sources lists the other documents that keep what went, empty where nothing went. Null text is empty; a null doc_id
+    same document too, and copies of shorter documents as a whole. sources lists the other documents that keep what went, empty where nothing went. Null text is empty; a null doc_id
     is the smallest; rows that repeat a doc_id and text are one document to the chunks, so copies under one id stay.
     """
     texts = id_text(docs)
