@@ -63,3 +63,26 @@ def test_bitplanes_are_exact_and_monotone():
 def test_png_round_trip(channels):
     px = np.random.default_rng(1).integers(0, 256, (17, 23, channels)).astype(np.uint8)
     assert (png.decode(png.encode(px)) == px).all()
+
+
+def test_bitplane_stream_decodes(spark):
+    """Signs and magnitudes come back from the planes of each vector, and no vector has more planes than it needs."""
+    streams = {}
+    for r in Q.QUERIES["bitplane_stream"](spark, "/root/testdata/sf0.01").collect():
+        streams.setdefault(r.vec_id, {})[r.plane] = r.bits
+    rows = {}
+    for r in Q.raster(spark, "/root/testdata/sf0.01").collect():
+        rows.setdefault(r.vec_id, {})[r.y, r.x] = r.v
+    for vec, cells in rows.items():
+        want = [cells[c] for c in sorted(cells)]
+        planes = streams.get(vec, {})
+        assert sorted(planes) == list(range(max(map(abs, want)).bit_length()))
+        size, sign = [0] * 64, [0] * 64
+        for p in sorted(planes, reverse=True):
+            bits = iter(planes[p])
+            for i in range(64):
+                if next(bits) == "1":
+                    if not size[i]:
+                        sign[i] = -1 if next(bits) == "1" else 1
+                    size[i] |= 1 << p
+        assert [a * b for a, b in zip(size, sign, strict=True)] == want

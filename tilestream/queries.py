@@ -176,7 +176,9 @@ def bitplane_counts(spark, sf_dir):
 @own(f"""WITH r AS ({RASTER}), b AS (SELECT vec_id, p, y, x, CASE WHEN (abs(v) >> p) & 1 = 0 THEN '0' WHEN abs(v) >> p > 1 THEN '1' WHEN v < 0 THEN '11' ELSE '10' END AS bits FROM r, range(0, 8) q(p) WHERE p < 6)
 SELECT vec_id, cast(p AS INTEGER) AS plane, string_agg(bits, '' ORDER BY y, x) AS bits FROM b GROUP BY vec_id, p""")
 def bitplane_stream(spark, sf_dir):
-    p = raster(spark, sf_dir).withColumn("plane", F.explode(F.sequence(F.lit(0), F.lit(5))))
+    """Every plane of each vector, as many as its largest coefficient has. The SQL stops at plane 5 and fills up to it with zeros."""
+    n = bitplane_counts(spark, sf_dir).where("planes > 0")
+    p = raster(spark, sf_dir).join(n, "vec_id").withColumn("plane", F.explode(F.expr("sequence(0, planes - 1)"))).drop("planes")
     p = p.withColumn("bits", F.expr("CASE WHEN shiftright(abs(v), plane) & 1 = 0 THEN '0' WHEN shiftright(abs(v), plane) > 1 THEN '1' WHEN v < 0 THEN '11' ELSE '10' END"))
     return p.groupBy("vec_id", "plane").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "bits"))), lambda z: z["bits"]), "").alias("bits"))
 
