@@ -52,8 +52,11 @@ shared("viewport_cap", """WITH v AS (SELECT o_orderkey AS view_id, o_orderkey %
 c AS (SELECT *, x0 + cast(floor(w / 2) AS BIGINT) AS cx, y0 + cast(floor(h / 2) AS BIGINT) AS cy FROM v)
 SELECT view_id, CASE WHEN w * h > 256 THEN greatest(x0, cx - 8) ELSE x0 END AS ax, CASE WHEN w * h > 256 THEN least(x0 + w - 1, cx + 7) ELSE x0 + w - 1 END AS bx,
 CASE WHEN w * h > 256 THEN greatest(y0, cy - 8) ELSE y0 END AS ay, CASE WHEN w * h > 256 THEN least(y0 + h - 1, cy + 7) ELSE y0 + h - 1 END AS bz FROM c""")
-shared("edf_order", f"""SELECT okey, line, level, layer, round({UTILITY}, 6) AS utility, CASE WHEN tx BETWEEN 8 AND 23 AND ty BETWEEN 8 AND 23 THEN 0 ELSE 1 END AS phase FROM ({PACKETS}) p
-WHERE tx BETWEEN 7 AND 24 AND ty BETWEEN 7 AND 24 ORDER BY phase, level, layer, {UTILITY} DESC, okey, line LIMIT 1000""")
+EDF = f"""SELECT okey, line, level, layer, round({UTILITY}, 6) AS utility, CASE WHEN tx BETWEEN 8 AND 23 AND ty BETWEEN 8 AND 23 THEN 0 ELSE 1 END AS phase FROM ({PACKETS}) p
+WHERE tx BETWEEN 7 AND 24 AND ty BETWEEN 7 AND 24 ORDER BY phase, level, layer, {UTILITY} DESC, okey, line"""
+shared("edf_order", f"{EDF} LIMIT 1000")
+# the SQL above stops after 1,000 packets; the query gives them all
+QUERIES["edf_order"] = lambda spark, sf_dir: spark.sql(EDF, lineitem=table(spark, sf_dir, "lineitem"))
 shared("predictive_order", f"""SELECT okey, line, tx, ty, level, layer FROM (SELECT *, row_number() OVER (PARTITION BY tx, ty, level ORDER BY layer, okey, line) AS rn FROM ({PACKETS}) p
 WHERE tx BETWEEN 8 AND 24 AND ty BETWEEN 8 AND 23 AND (tx < 24 OR ty BETWEEN 12 AND 19)) q WHERE rn = 1""")
 shared("zip_order", f"""SELECT okey, line, level, round(cast(262144 AS DOUBLE) / len, 6) AS utility FROM ({PACKETS}) p WHERE (tx BETWEEN 8 AND 23 AND ty BETWEEN 8 AND 23) OR level = 3
