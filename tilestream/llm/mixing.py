@@ -20,6 +20,25 @@ BROADCAST_SOURCES = 50_000
 SHARD_WORDS = 1 << 22
 
 
+def running(df: DataFrame, order: list[Column], sums: dict[str, str], what: str) -> DataFrame:
+    """df with `place` (from 0, in the order given) and, for each name in sums, the sum of its column over all rows before and over all rows.
+
+    Rows are dealt by range; only one row for each part is brought together, so no task holds the table.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), what)
+    of = dealt.groupBy("__part").agg(F.count("*").alias("__n"), *[F.sum(c).alias(f"__{n}") for n, c in sums.items()])
+    ahead = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    cols = [F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"{c}_ahead") for c in ["__n", *(f"__{n}" for n in sums)]]
+    of = of.select(F.col("__part").alias("__p"), *cols, *[F.sum(f"__{n}").over(W.partitionBy()).alias(f"{n}_all") for n in sums])
+    joined = dealt.join(F.broadcast(of), F.col("__part") == F.col("__p"))
+    here, before = W.partitionBy("__part").orderBy(*order), W.partitionBy("__part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    joined = joined.withColumn("place", (F.row_number().over(here) - 1 + F.col("__n_ahead")).cast("long"))
+    for n, c in sums.items():
+        joined = joined.withColumn(f"{n}_before", F.coalesce(F.sum(c).over(before), F.lit(0)) + F.col(f"__{n}_ahead"))
+    return joined.select(*df.columns, "place", *[f"{n}_{x}" for n in sums for x in ("before", "all")])
+
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, epochs: float = 2.0) -> DataFrame:
     """si (place of the source by code point, null last), source, source_size, target.
 
@@ -27,14 +46,14 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), sha
     source is above. The level is found in one go, from sources in the order in which they reach their limits.
     """
     s = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    s = s.withColumn("si", F.row_number().over(W.orderBy(F.col("source").isNull(), "source")) - 1)
-    s = s.withColumn("w", F.element_at(F.array(*[F.lit(float(x)) for x in weights]), F.col("si") % len(weights) + 1))
+    s = running(s, [F.col("source").isNull(), F.col("source")], {}, "mix-sources").withColumnRenamed("place", "si")
+    s = s.withColumn("w", F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("si") % len(weights) + 1).cast("int")))
     s = s.withColumn("cap", epochs * F.col("source_size"))
-    everything = W.partitionBy()
-    before = W.orderBy(F.col("cap") / F.col("w"), "si").rowsBetween(W.unboundedPreceding, -1)
-    s = s.withColumn("level", (share * F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0.0))))
-    s = s.withColumn("found", F.min(F.when(F.col("level") <= F.col("cap") / F.col("w"), F.struct(F.col("cap") / F.col("w"), "si", "level"))).over(everything))
-    return s.select("si", "source", "source_size", F.least(F.coalesce(F.col("found.level") * F.col("w"), F.col("cap")), F.col("cap")).alias("target"))
+    s = running(s, [F.col("cap") / F.col("w"), F.col("si")], {"size": "source_size", "cap": "cap", "w": "w"}, "mix-levels").drop("place")
+    s = s.withColumn("level", (share * F.col("size_all") - F.col("cap_before")) / (F.col("w_all") - F.col("w_before")))
+    found = s.where(F.col("level") <= F.col("cap") / F.col("w")).agg(F.min(F.struct((F.col("cap") / F.col("w")).alias("at"), "si", "level")).alias("found"))
+    s = s.crossJoin(F.broadcast(found))  # one row
+    return s.select(F.col("si").cast("int").alias("si"), "source", "source_size", F.least(F.coalesce(F.col("found.level") * F.col("w"), F.col("cap")), F.col("cap")).alias("target"))
 
 
 def hypergeometric(s: str) -> str:
@@ -70,7 +89,8 @@ def hypergeometric(s: str) -> str:
 def splitting_tree(counts: DataFrame, shards: int, seed: str) -> DataFrame:
     """si, shard, quota from si, cnt: each shard's number of blocks of each source. shards: a power of two.
 
-    A node holds the counts of all sources, as one array; the left half of its shards gets half of its blocks, drawn without replacement.
+    A node holds the counts of its sources, as one array; the left half of its shards gets half of its blocks, drawn without replacement.
+    Sources without blocks leave a node, so a level of the tree holds no more than one count for each block; nodes are dealt anew as they multiply.
     """
     nodes = counts.where("cnt > 0").agg(F.array_sort(F.collect_list(F.struct("si", F.col("cnt").cast("long").alias("cnt")))).alias("own")).select(F.lit(0).alias("node"), "own").where("size(own) > 0")
     width = 1
@@ -90,7 +110,9 @@ def splitting_tree(counts: DataFrame, shards: int, seed: str) -> DataFrame:
                     F.struct((F.col("node") * 2 + 1).alias("node"), F.expr("transform(cut, c -> named_struct('si', c.si, 'cnt', c.cnt - c.left))").alias("own")),
                 )
             ).alias("n")
-        ).select("n.node", "n.own")
+        ).select("n.node", F.expr("filter(n.own, c -> c.cnt > 0)").alias("own")).where("size(own) > 0")
+        if width in (32, 1024):
+            nodes = nodes.repartition("node")
     return nodes.select(F.col("node").alias("shard"), F.explode("own").alias("o")).select("o.si", "shard", F.col("o.cnt").alias("quota"))
 
 
@@ -119,9 +141,11 @@ def mix(rows: DataFrame, key: list[str], seed: str = "mix", shards: int | None =
     blocks = written(blocks.select("si", "block", "full", "part"), "mix-blocks")
     copies = blocks.select("si", "block", F.explode(F.filter(F.sequence(F.lit(1).cast("long"), F.col("full") + 1), lambda e: (e <= F.col("full")) | (F.col("part") > 0))).alias("epoch"))
     quotas = splitting_tree(copies.groupBy("si").agg(F.count("*").alias("cnt")), shards, seed)
-    quotas = quotas.withColumn("upto", F.sum("quota").over(W.partitionBy("si").orderBy("shard"))).where("quota > 0").select(F.col("si").alias("__si"), "shard", "quota", "upto")
+    quotas = quotas.withColumn("upto", F.sum("quota").over(W.partitionBy("si").orderBy("shard"))).where("quota > 0")
+    # a quota names its ranks, so that copies meet their shard by equality
+    quotas = quotas.select(F.col("si").alias("__si"), "shard", F.explode(F.sequence(F.col("upto") - F.col("quota") + 1, F.col("upto"))).alias("__rank"))
     ranked = copies.withColumn("rank", F.row_number().over(W.partitionBy("si").orderBy(F.xxhash64(F.lit(seed + "/deal"), "si", "epoch", "block"), "epoch", "block")))
-    dealt = ranked.join(quotas, (F.col("si") == F.col("__si")) & (F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("quota")))
+    dealt = ranked.join(quotas, (F.col("si") == F.col("__si")) & (F.col("rank") == F.col("__rank")))
     dealt = dealt.groupBy(F.col("si").alias("__si"), F.col("block").alias("__block")).agg(F.array_sort(F.collect_list(F.struct("epoch", "shard"))).alias("dealt"))
     plan = blocks.join(dealt, (F.col("si") == F.col("__si")) & (F.col("block") == F.col("__block")), "left").select(F.col("si").alias("__si"), F.col("block").alias("__block"), "full", "part", "dealt")
     docs = docs.join(plan, (F.col("si") == F.col("__si")) & (F.col("block") == F.col("__block"))).drop("__si", "__block", "__source")
@@ -147,13 +171,21 @@ def mix_report(docs: DataFrame, **settings) -> DataFrame:
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """The mix itself, with the columns of docs: a row for each time that a document is taken, dealt to shards and shuffled in each.
 
-    A shard lies in up to four partitions, in random order. The one document of a source that is taken in part gives its first words, separated by single blanks.
+    A shard lies in up to four partitions, in random order. The one document of a source that is taken in part gives its first words,
+    separated by single blanks. Rows that repeat an id, size and source are told apart by number, in the order of their texts, so each is
+    taken as often as its plan says and reruns agree. Null ids and sources count as values of their own; empty tables give no rows.
     """
-    plan = mix(sized(docs), ["doc_id"], **settings)
-    plan = plan.groupBy(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("source").alias("__source")).agg(F.first("placed").alias("placed"))
-    # rows that repeat an id, size and source are taken alike
-    own = docs.select(F.struct("*").alias("__row"), F.col("doc_id").cast("long").alias("__k"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("__n"), F.col("source").cast("string").alias("__src"))
-    joined = own.join(plan, F.col("__k").eqNullSafe(F.col("__id")) & (F.col("__n") == F.col("__size")) & F.col("__src").eqNullSafe(F.col("__source")))
+    key = ["__k", "__n", "__src"]
+    named = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("__k"), F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-")).alias("__src")]
+    plan = mix(sized(docs), ["doc_id"], **settings).select(*named, F.col("size").alias("__n"), "placed")
+    own = docs.select(F.struct("*").alias("__row"), *named, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("__n"))
+    plan = written(plan, "mix-plan")
+    if plan.groupBy(*key).count().where("count > 1").isEmpty():
+        joined = own.join(plan, key)
+    else:
+        plan = plan.withColumn("__nth", F.row_number().over(W.partitionBy(*key).orderBy("placed")))
+        own = own.withColumn("__nth", F.row_number().over(W.partitionBy(*key).orderBy("__row.text")))
+        joined = own.join(plan, [*key, "__nth"])
     taken = joined.select("__row", "__n", F.explode("placed").alias("__p"))
     taken = taken.withColumn("__h", F.xxhash64("__row.doc_id", "__p.epoch", F.lit("shuffle")))
     some = F.concat_ws(" ", F.slice(F.regexp_extract_all(F.col("__row.text"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("__p.words").cast("int")))
