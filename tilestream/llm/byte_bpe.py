@@ -236,20 +236,37 @@ def encoder(path: str, pattern: str) -> Encoder:
 
 #: Seconds after which an idle worker drops its tables, since workers outlive their stage.
 IDLE_S = 4.0
-_idle: list[threading.Timer] = []
 
 
-def _busy() -> None:
-    while _idle:
-        _idle.pop().cancel()
+class Idle:
+    """Releases an encoder's tables after a while without a task. Both sides change `busy` under one lock, so a release never overlaps a task."""
+
+    def __init__(self):
+        self.lock, self.busy, self.timer = threading.Lock(), False, None
+
+    def begin(self) -> None:
+        with self.lock:
+            self.busy = True
+            if self.timer is not None:
+                self.timer.cancel()
+
+    def end(self, e: Encoder) -> None:
+        with self.lock:
+            self.busy = False
+            self.timer = threading.Timer(IDLE_S, self.release, (e,))
+            self.timer.daemon = True
+            self.timer.start()
+
+    def release(self, e: Encoder) -> None:
+        with self.lock:
+            if not self.busy:
+                e.release()
 
 
-def _rest(e: Encoder) -> None:
-    _busy()
-    timer = threading.Timer(IDLE_S, e.release)
-    timer.daemon = True
-    _idle.append(timer)
-    timer.start()
+@functools.cache
+def idle() -> Idle:
+    """One for each Python worker."""
+    return Idle()
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
@@ -262,7 +279,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, keep_ids: bool =
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids
 
     def run(batches):
-        _busy()
+        idle().begin()
         e = encoder(path, pattern)
         gc.disable()  # the tables are large, and what is dropped is cleared
         try:
@@ -270,7 +287,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, keep_ids: bool =
                 yield encoded(e, b)
         finally:
             gc.enable()
-            _rest(e)
+            idle().end(e)
 
     def encoded(e, b):
         out: list[list] = [[], [], [], []]
