@@ -11,7 +11,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from tilestream.llm import ann, byte_bpe, chat, jaccard_join, line_dedup, mixing, quality_rules, substring_dedup, suffix_dedup, warc
+from tilestream.llm import ann, byte_bpe, chat, common, jaccard_join, line_dedup, mixing, quality_rules, substring_dedup, suffix_dedup, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, did long, n long"
@@ -354,3 +354,58 @@ def test_substring_dedup_at_the_edges(spark):
     assert whole == 60
     assert [(r.n_removed, r.sources) for r in got[301]] == [(7, [300])]
     assert all(r.n_removed == 0 for i in (300, 302, 303, 304) for r in got[i]) and len(got[300]) == 2
+
+
+def jaccard_by_hand(rows):
+    """Sorted (doc_id, n_shingles, component_id) of rows; rows that repeat an id are documents of their own, under one id."""
+    sets = []
+    for r in rows:
+        w = WORD.findall((r[1] or "").translate(LOW))
+        sets.append((r[0], {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()))
+    comp = [i for i, _ in sets]
+    while True:
+        new = list(comp)
+        for a, (_, x) in enumerate(sets):
+            for b, (_, y) in enumerate(sets):
+                if x and y and 100 * len(x & y) >= 75 * len(x | y):
+                    new[a] = min(new[a], comp[b])
+        if new == comp:
+            return sorted((i, len(x), c) for (i, x), c in zip(sets, comp, strict=True))
+        comp = new
+
+
+@pytest.mark.parametrize("thin, filters", [(0, True), (0, False), (6, True), (6, False)])
+def test_jaccard_join_by_every_path(spark, monkeypatch, thin, filters):
+    """Segments with room and without it, filters that fit and that don't, repeated ids left in."""
+    if not filters:
+        monkeypatch.setattr(common, "FILTER_BYTES", 0)
+    rng = random.Random(21)
+    rows = [r for r in corpus() if r[0] != 30]
+    for i in range(100, 160):
+        w = sentence(rng, rng.choice([3, 6, 9, 20, 40])).split(" ")
+        for j in range(rng.randint(1, 3)):
+            rows.append((10 * i + j, " ".join(w), "en", "a", 1, 1, 1))
+            w = [*w]
+            w[rng.randrange(len(w))] = "other"
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = jaccard_join.component_table(docs, thin=thin).collect()
+    assert sorted((r.did, r.n, r.comp) for r in got) == jaccard_by_hand(rows)
+
+
+def test_units_find_all_partners():
+    """A set and one that differs in as many elements as may be: one of the signatures searched is among those of the other."""
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 3, 5, 9, 40, 130, 700):
+        for _ in range(30):
+            x = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+            grow = int(rng.integers(0, n // 3 + 1))
+            y = np.unique(np.concatenate((x[int(rng.integers(0, n // 8 + 1)) :], rng.integers(0, 2**63, grow).astype(np.uint64))))
+            inter = len(np.intersect1d(x, y))
+            if len(y) < len(x) or 100 * inter < 75 * (len(x) + len(y) - inter):
+                continue
+            band = len(y).bit_length()
+            units = dict(jaccard_join.bands(len(x), 75, 100))[band]
+            s = jaccard_join.Segments(x, band)
+            price = rng.integers(1, 50, 4096)
+            found = s.allocated(units, lambda sig: price[(sig % np.uint64(4096)).astype(np.int64)]) if s.room() >= units else x[:units]
+            assert np.isin(found, np.concatenate((jaccard_join.Segments(y, band).index(), y))).any()
