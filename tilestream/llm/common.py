@@ -186,13 +186,13 @@ PAIR = np.dtype([("k1", "<u8"), ("k2", "<u8")])
 COUNTS = "shard int, k1 long, k2 long, n long, filter binary"
 
 
-def key_counts(texts: DataFrame, keys_of: Callable[[np.ndarray, list[bytes]], np.ndarray], shards: int, least: int, what: str, hot: int = 0, narrow: bool = False, group: int = GROUP_BYTES) -> DataFrame:
+def key_counts(texts: DataFrame, keys_of: Callable[[np.ndarray, list[bytes]], np.ndarray], shards: int, least: int, what: str, hot: tuple[int, ...] = (), narrow: bool = False, group: int = GROUP_BYTES) -> DataFrame:
     """Digests that at least `least` emissions carry, with a Bloom filter for each shard (rows whose k1 is null).
 
     keys_of gives the digests of a group of documents, each once for a document: uint64, or PAIR for 128 bits. Map tasks add up equal
     digests and ship one packed row for each group and shard, so a digest that a third of all rows carry is one record of each group.
-    A reducer folds as it reads; it holds its shard's distinct digests, and the number of shards grows with the input. With hot, there is
-    another filter for each shard, numbered from `shards` on, of the digests with at least so many emissions. narrow: keys_of gives digests
+    A reducer folds as it reads; it holds its shard's distinct digests, and the number of shards grows with the input. For each number
+    in hot there is another filter of each shard, numbered from `shards`, twice `shards` and so on, of the digests with at least so many emissions. narrow: keys_of gives digests
     cut by narrowed(), of which four bytes are shipped.
     """
 
@@ -242,7 +242,7 @@ def key_counts(texts: DataFrame, keys_of: Callable[[np.ndarray, list[bytes]], np
         k1 = keys["k1"] if keys.dtype.names else keys
         k2 = keys["k2"] if keys.dtype.names else np.zeros(len(keys), np.uint64)
         shard = shard_of(k1, shards)
-        for s, own in [(s, shard == s) for s in np.unique(shard)] + [(s + shards, (shard == s) & (n >= hot)) for s in np.unique(shard) if hot]:
+        for s, own in [(s + i * shards, (shard == s) & (n >= most)) for s in np.unique(shard) for i, most in enumerate((0, *hot))]:
             yield pa.RecordBatch.from_arrays([pa.array([int(s)], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([KeyFilter.build(k1[own])], pa.binary())], names=["shard", "k1", "k2", "n", "filter"])
         for a in range(0, len(keys), 65536):
             z = slice(a, a + 65536)
@@ -253,10 +253,10 @@ def key_counts(texts: DataFrame, keys_of: Callable[[np.ndarray, list[bytes]], np
     return written(sent.mapInArrow(reduce, COUNTS), what)
 
 
-def key_filter(counts: DataFrame, shards: int, hot: bool = False):
-    """A broadcast KeyFilter of key_counts' digests, if they fit FILTER_BYTES; else one that lets all pass."""
+def key_filter(counts: DataFrame, shards: int, level: int = 0):
+    """A broadcast KeyFilter of key_counts' digests, if they fit FILTER_BYTES; else one that lets all pass. level: place in `hot`, from 1."""
     sc = counts.sparkSession.sparkContext
-    rows = counts.where("filter is not null").where(F.col("shard") >= shards if hot else F.col("shard") < shards)
+    rows = counts.where("filter is not null").where(F.floor(F.col("shard") / shards) == level)
     size = rows.agg(F.sum(F.length("filter"))).first()[0] or 0
     bits = {r.shard % shards: np.frombuffer(bytes(r.filter), np.uint8) for r in rows.select("shard", "filter").toLocalIterator()} if size <= FILTER_BYTES else None
     return sc.broadcast(KeyFilter(bits, shards))
