@@ -273,15 +273,29 @@ def test_line_dedup(docs):
     assert line_dedup.line_dedup(docs).columns == docs.columns
 
 
-def test_line_index_is_reversible():
+def test_line_tables_are_reversible(spark):
+    """Insert, delete, report equals a report without the deleted documents; filters hold what is frequent, also after they overflowed."""
     line = "the very same line that all documents repeat here"
-    x = line_dedup.LineIndex()
-    for i in range(6):
-        x.insert(i, line + f"\nown {i}")
-    assert x.kept(2, line + "\nown 2") == "own 2" and x.kept(5, line + "\nown 5") == line + "\nown 5"
-    for i in (0, 1):
-        x.delete(i, line + f"\nown {i}")
-    assert x.kept(2, line + "\nown 2") == line + "\nown 2"
+    rows = [(i, f"{line}\nown {i}") for i in range(6)] + [(i, f"{line} again {i % 300}\n{line} again {(i + 1) % 300}") for i in range(10, 1600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    x = line_dedup.LineTables(spark, shards=3)
+    report = lambda d: sorted(map(tuple, x.report(d).collect()))
+    want = lambda d: sorted(map(tuple, line_dedup.line_dedup_report(d, again=0).collect()))
+    x.insert(docs.where("doc_id < 6"))
+    first = {r.doc_id: r.n_dropped for r in x.report(docs.where("doc_id < 6")).collect()}
+    assert first == {0: 1, 1: 1, 2: 1, 3: 1, 4: 1, 5: 0}
+    x.delete(docs.where("doc_id < 2"))
+    assert x.frequent.isEmpty() and all(r.n_dropped == 0 for r in x.report(docs.where("doc_id BETWEEN 2 AND 5")).collect())
+    x.insert(docs.where("doc_id < 2 OR doc_id >= 10"))
+    assert report(docs) == want(docs)
+    x.delete(docs.where("doc_id % 3 = 0"))
+    left = docs.where("doc_id % 3 <> 0")
+    assert report(left) == want(left)
+    keys = [(r.k1 & (2**64 - 1)) for r in x.frequent.collect()]
+    filters = {r.shard: line_dedup.CuckooFilter.read(bytes(r.filter)) for r in x.filters.collect()}
+    shards = line_dedup.shard_of(np.array(keys, np.uint64), 3).tolist()
+    assert keys and all(filters[s].contains(np.array([k], np.uint64))[0] for s, k in zip(shards, keys, strict=True))
+    assert sum(int((f.table > 0).sum()) for f in filters.values()) == len(keys)
 
 
 def test_cuckoo_filter():

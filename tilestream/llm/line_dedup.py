@@ -1,8 +1,9 @@
-"""Line dedup: sharded cuckoo filters backed by exact reference counts.
+"""Line dedup: sharded cuckoo filters backed by exact reference-count tables.
 
-The reference counts say how many documents hold each line key and which is the last of them. The cuckoo filters, one for each shard of
-keys, hold the keys that are frequent enough to lose lines; a document whose lines all miss them needs no look at the exact table.
-LineIndex is the same structure for increments: documents can be inserted and deleted again, in any order.
+LineTables holds which documents have each line key, as written tables of changes: an insert adds rows, a delete takes them back. The
+reference counts of frequent keys follow from them exactly. Each shard of keys has a cuckoo filter of its frequent keys, which inserts and
+deletes keep up to date; a document whose lines all miss the filters needs no look at the exact table. After a delete all is as if the
+documents had never come.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Iterable
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilestream.llm.common import FILTER_BYTES, groups, id_text, mixed, real_id, shard_of, shards_for, written
@@ -92,6 +93,13 @@ class CuckooFilter:
         p, a, b = self._where(np.asarray(k, np.uint64))
         return (self.table[a.astype(np.int64)] == p[:, None]).any(1) | (self.table[b.astype(np.int64)] == p[:, None]).any(1)
 
+    @classmethod
+    def read(cls, data: bytes) -> CuckooFilter:
+        made = cls(1)
+        made.table = np.frombuffer(data, np.uint16).reshape(-1, cls.SLOTS).copy()
+        made.n = len(made.table)
+        return made
+
     @classmethod
     def of(cls, keys: Iterable[int], expected: int) -> CuckooFilter:
         keys = list(keys)
@@ -102,67 +110,6 @@ class CuckooFilter:
             expected *= 2
 
 
-class LineIndex:
-    """Line dedup for increments: exact reference counts by shard, with a cuckoo filter of each shard's frequent keys.
-
-    insert() and delete() take the distinct long keys of a document; after a delete all is as if the document had never come.
-    frequent(keys) tells which keys reach min_docs; the filter answers most misses and the exact table has the last word.
-    """
-
-    def __init__(self, min_docs: int = 5, min_chars: int = 40, shards: int = 16):
-        self.min_docs, self.min_chars, self.shards = min_docs, min_chars, shards
-        self.refs: list[dict[bytes, set[int]]] = [{} for _ in range(shards)]
-        self.filters = [CuckooFilter() for _ in range(shards)]
-
-    def _keys(self, text: str | None) -> set[bytes]:
-        return {k for line in (text or "").encode().split(b"\n") if (k := long_key(line, self.min_chars)) is not None}
-
-    @staticmethod
-    def _digest(key: bytes) -> int:
-        return xxhash.xxh3_64_intdigest(key)
-
-    def _shard(self, digest: int) -> int:
-        return int(shard_of(np.array([digest], np.uint64), self.shards)[0])
-
-    def insert(self, doc_id: int, text: str | None) -> None:
-        for key in self._keys(text):
-            d = self._digest(key)
-            s = self._shard(d)
-            held = self.refs[s].setdefault(key, set())
-            if doc_id in held:
-                continue
-            held.add(doc_id)
-            if len(held) == self.min_docs and not self.filters[s].insert(d):
-                self.filters[s] = CuckooFilter.of((self._digest(k) for k, v in self.refs[s].items() if len(v) >= self.min_docs), 4 * self.filters[s].n * CuckooFilter.SLOTS)
-
-    def delete(self, doc_id: int, text: str | None) -> None:
-        for key in self._keys(text):
-            d = self._digest(key)
-            s = self._shard(d)
-            held = self.refs[s].get(key, set())
-            if doc_id not in held:
-                continue
-            if len(held) == self.min_docs:
-                self.filters[s].delete(d)
-            held.discard(doc_id)
-            if not held:
-                del self.refs[s][key]
-
-    def kept(self, doc_id: int, text: str | None) -> str:
-        out = []
-        for line in (text or "").split("\n"):
-            key = long_key(line.encode(), self.min_chars)
-            if key is not None:
-                d = self._digest(key)
-                s = self._shard(d)
-                if self.filters[s].contains(np.array([d], np.uint64))[0]:
-                    held = self.refs[s].get(key, ())
-                    if len(held) >= self.min_docs and max(held) != doc_id:
-                        continue
-            out.append(line)
-        return "\n".join(out)
-
-
 def _digests(text: bytes, least: int) -> list[tuple[int, bytes | None]]:
     """For each line: its place and the digest of its key, if the key is long enough."""
     return [(i, xxhash.xxh3_128_digest(k)) for i, line in enumerate(text.split(b"\n")) if (k := long_key(line, least)) is not None]
@@ -172,54 +119,14 @@ def _pairs(digests: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2)
 
 
-def reference_counts(texts: DataFrame, min_docs: int, min_chars: int, hits=None) -> DataFrame:
-    """k1, k2 (digest of a key), refs (documents that hold it), last (the largest of their ids). hits: a broadcast list of filters."""
+HELD = "did long, k1 long, k2 long"
+FILTERS = "shard int, filter binary, failed boolean"
 
-    def emit(batches):
-        for ids, group in groups(batches):
-            own, found = [], []
-            for i, t in enumerate(group):
-                d = {x for _, x in _digests(t, min_chars)}
-                found += d
-                own += [i] * len(d)
-            k = _pairs(found)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[own]) if own else pa.array([], pa.int64()), pa.array(k[:, 0].view(np.int64)), pa.array(k[:, 1].view(np.int64))], names=["did", "k1", "k2"])
-
-    held = texts.mapInArrow(emit, "did long, k1 long, k2 long")
-    return held.groupBy("k1", "k2").agg(F.count("*").alias("refs"), F.max("did").alias("last")).where(F.col("refs") >= min_docs)
-
-
-def line_filters(frequent: DataFrame, shards: int) -> list[CuckooFilter] | None:
-    """A cuckoo filter of the frequent keys of each shard, or None where they exceed FILTER_BYTES in all."""
-    if frequent.count() * 4 > FILTER_BYTES:
-        return None
-
-    def build(batches):
-        by: dict[int, list[int]] = {}
-        for b in batches:
-            k1 = b.column(0).to_numpy().view(np.uint64)
-            for s, k in zip(shard_of(k1, shards).tolist(), k1.tolist(), strict=True):
-                by.setdefault(s, []).append(k)
-        for s, keys in by.items():
-            f = CuckooFilter.of(keys, len(keys))
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([f.table.tobytes()], pa.binary())], names=["shard", "filter"])
-
-    made = frequent.select("k1").repartition(shards, F.expr(f"shiftrightunsigned(k1, 33) % {shards}")).mapInArrow(build, "shard int, filter binary")
-    out = [CuckooFilter(1) for _ in range(shards)]
-    for r in made.toLocalIterator():
-        out[r.shard].table = np.frombuffer(bytes(r.filter), np.uint16).reshape(-1, CuckooFilter.SLOTS)
-        out[r.shard].n = len(out[r.shard].table)
-    return out
-
-
-def dropped_keys(texts: DataFrame, min_docs: int, min_chars: int) -> DataFrame:
-    """did, drops: the 128-bit digests of the keys that the document loses (k1 and k2, little-endian). Documents that lose none have no row."""
-    shards = shards_for(texts, 8)
-    frequent = written(reference_counts(texts, min_docs, min_chars), "line-refs")
-    filters = texts.sparkSession.sparkContext.broadcast(line_filters(frequent, shards))
+
+def held_keys(texts: DataFrame, min_chars: int, passes=None) -> DataFrame:
+    """did, k1, k2: the digests of the distinct long keys of each row; only those that passes (k1 to a mask) lets through."""
 
     def emit(batches):
-        own_filters = filters.value
         for ids, group in groups(batches):
             own, found = [], []
             for i, t in enumerate(group):
@@ -227,17 +134,129 @@ def dropped_keys(texts: DataFrame, min_docs: int, min_chars: int) -> DataFrame:
                 found += d
                 own += [i] * len(d)
             k, own = _pairs(found), np.array(own, np.int64)
-            if own_filters is not None and len(k):
-                hit, shard = np.zeros(len(k), bool), shard_of(k[:, 0], shards)
-                for s in np.unique(shard):
-                    at = np.flatnonzero(shard == s)
-                    hit[at] = own_filters[s].contains(k[at, 0])
+            if passes is not None and len(k):
+                hit = passes(k[:, 0])
                 k, own = k[hit], own[hit]
             yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(k[:, 0].copy().view(np.int64)), pa.array(k[:, 1].copy().view(np.int64))], names=["did", "k1", "k2"])
 
-    held = texts.mapInArrow(emit, "did long, k1 long, k2 long")
-    lost = held.join(frequent.select("k1", "k2", "last"), ["k1", "k2"]).where("did < last")
-    return lost.groupBy("did").agg(F.collect_set(F.struct("k1", "k2")).alias("drops"))
+    return texts.mapInArrow(emit, HELD)
+
+
+class LineTables:
+    """Line dedup for increments, in written tables: batches of documents are inserted and deleted, in any order.
+
+    changes: did, k1, k2, n: a row of n = 1 for each key of an inserted row and of n = -1 for each key of a deleted one.
+    frequent: k1, k2, refs, last: exactly those keys that at least min_docs rows hold, and the largest id among them.
+    filters: shard, filter: the cuckoo filter of the frequent keys of each shard that has any.
+    """
+
+    def __init__(self, spark: SparkSession, min_docs: int = 5, min_chars: int = 40, shards: int = 16):
+        self.min_docs, self.min_chars, self.shards = min_docs, min_chars, shards
+        none = lambda schema: spark.createDataFrame([], schema)
+        self.changes, self.deleted = none("did long, k1 long, k2 long, n int"), False
+        self.frequent = none("k1 long, k2 long, refs long, last long")
+        self.filters = none(FILTERS).drop("failed")
+        self.empty = True
+
+    def insert(self, docs: DataFrame) -> None:
+        """Rows of docs count from now on. Null text is one empty line; a null doc_id is the smallest."""
+        self._change(id_text(docs), 1)
+
+    def delete(self, docs: DataFrame) -> None:
+        """Rows of docs, inserted before with the same ids and texts, count no more."""
+        self.deleted = True
+        self._change(id_text(docs), -1)
+
+    def _change(self, texts: DataFrame, n: int) -> None:
+        batch = written(held_keys(texts, self.min_chars).withColumn("n", F.lit(n)), "line-changes")
+        self.changes = batch if self.empty else self.changes.unionByName(batch)
+        rows, touched, before = self.changes, None, self.frequent
+        if not self.empty:  # only the batch's keys can have new counts
+            touched = batch.select("k1", "k2").distinct()
+            rows = rows.join(touched, ["k1", "k2"], "left_semi")
+        self.empty = False
+        if self.deleted:
+            rows = rows.groupBy("k1", "k2", "did").agg(F.sum("n").alias("n")).where("n > 0")
+        now = rows.groupBy("k1", "k2").agg(F.sum("n").alias("refs"), F.max("did").alias("last")).where(F.col("refs") >= self.min_docs)
+        self.frequent = written(now if touched is None else now.unionByName(before.join(touched, ["k1", "k2"], "left_anti")), "line-refs")
+        old, new = before.select("k1", "k2", F.lit(True).alias("was")), self.frequent.select("k1", "k2", F.lit(True).alias("is"))
+        turned = old.join(new, ["k1", "k2"], "full").where("was IS NULL OR is IS NULL").select("k1", F.when(F.col("was").isNull(), 1).otherwise(-1).alias("change"))
+        self._maintain(turned)
+
+    def _shard(self):
+        return F.expr(f"cast(shiftrightunsigned(k1, 33) % {self.shards} AS int)").alias("shard")
+
+    def _maintain(self, turned: DataFrame) -> None:
+        """Inserts and deletes keys in the filters of their shards; a filter that overflows is made anew from the exact table, larger."""
+
+        def run(batches, fresh: bool):
+            shard, keys, own = None, [], None
+
+            def done():
+                made, failed = own or CuckooFilter(len(keys)), False
+                if fresh:
+                    made = CuckooFilter.of([k for k, _ in keys], 2 * len(keys))
+                else:
+                    for k, change in sorted(keys, key=lambda x: x[1]):  # deletes make room first
+                        if change < 0:
+                            made.delete(k)
+                        elif not made.insert(k):
+                            failed = True
+                return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([made.table.tobytes()], pa.binary()), pa.array([failed])], names=["shard", "filter", "failed"])
+
+            for b in batches:
+                for s, table, k, change in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    if s != shard:
+                        if shard is not None:
+                            yield done()
+                        shard, keys, own = s, [], None
+                    if table is not None:
+                        own = CuckooFilter.read(table)
+                    else:
+                        keys.append((k & 0xFFFFFFFFFFFFFFFF, change))
+            if shard is not None:
+                yield done()
+
+        def made(rows, fresh):
+            dealt = rows.repartition(self.shards, "shard").sortWithinPartitions("shard", F.col("filter").isNull())
+            return dealt.select("shard", "filter", "k1", "change").mapInArrow(lambda b: run(b, fresh), FILTERS)
+
+        rows = turned.select(self._shard(), F.lit(None).cast("binary").alias("filter"), "k1", "change")
+        rows = rows.unionByName(self.filters.select("shard", "filter", F.lit(0).cast("long").alias("k1"), F.lit(0).alias("change")))
+        now = written(made(rows, False), "line-filters")
+        bad = now.where("failed").select("shard")
+        if not bad.isEmpty():
+            again = self.frequent.select(self._shard(), F.lit(None).cast("binary").alias("filter"), "k1", F.lit(1).alias("change"))
+            now = written(now.where("NOT failed").unionByName(made(again.join(bad, "shard", "left_semi"), True)), "line-filters")
+        self.filters = now.select("shard", "filter")
+
+    def dropped(self, docs: DataFrame) -> DataFrame:
+        """did, drops: the 128-bit digests of the keys that each of the rows loses (k1 and k2, little-endian). Rows that lose none have none.
+
+        Filters are broadcast if they fit FILTER_BYTES; else every key goes to the exact join.
+        """
+        size = self.filters.agg(F.sum(F.length("filter"))).first()[0] or 0
+        passes = None
+        if size <= FILTER_BYTES:
+            shards = self.shards
+            own = docs.sparkSession.sparkContext.broadcast({r.shard: bytes(r.filter) for r in self.filters.toLocalIterator()})
+
+            def passes(k1):
+                hit, shard = np.zeros(len(k1), bool), shard_of(k1, shards)
+                for s in np.unique(shard):
+                    if (table := own.value.get(int(s))) is not None:
+                        at = np.flatnonzero(shard == s)
+                        hit[at] = CuckooFilter.read(table).contains(k1[at])
+                return hit
+
+        lost = held_keys(id_text(docs), self.min_chars, passes).join(self.frequent.select("k1", "k2", "last"), ["k1", "k2"]).where("did < last")
+        return lost.groupBy("did").agg(F.collect_set(F.struct("k1", "k2")).alias("drops"))
+
+    def report(self, docs: DataFrame) -> DataFrame:
+        """doc_id, n_lines, n_dropped, kept_sha256 of rows that are inserted now."""
+        joined = id_text(docs).join(self.dropped(docs), "did", "left")
+        least = self.min_chars
+        return joined.mapInArrow(lambda b: _cut(b, least, False), "did long, n_lines long, n_dropped long, kept_sha256 string").select(real_id().alias("doc_id"), "n_lines", "n_dropped", "kept_sha256")
 
 
 def _cut(batches, min_chars: int, with_text: bool):
@@ -265,15 +284,22 @@ def _cut(batches, min_chars: int, with_text: bool):
         yield pa.RecordBatch.from_pydict(cols)
 
 
-def line_dedup_report(docs: DataFrame, min_docs: int = 5, min_chars: int = 40) -> DataFrame:
+def line_dedup_report(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, again: int = 32) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 of every row of documents.
 
+    All are inserted; then one part of `again`, by hash of the id, is deleted and inserted anew, as an increment of revised documents
+    would be, which leaves everything as it was. again = 0: only the first insert.
+
     Null or empty text is one empty line. A null doc_id counts as the smallest. Rows that repeat a doc_id count as documents of their own
     and all hold the largest id together. An empty table gives an empty result; other columns are not read.
     """
-    texts = id_text(docs)
-    joined = texts.join(dropped_keys(texts, min_docs, min_chars), "did", "left")
-    return joined.mapInArrow(lambda b: _cut(b, min_chars, False), "did long, n_lines long, n_dropped long, kept_sha256 string").select(real_id().alias("doc_id"), "n_lines", "n_dropped", "kept_sha256")
+    tables = LineTables(docs.sparkSession, min_docs, min_chars, shards_for(docs, 8))
+    tables.insert(docs)
+    if again:
+        part = docs.where(F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit("again")), F.lit(again)) == 0)
+        tables.delete(part)
+        tables.insert(part)
+    return tables.report(docs)
 
 
 def line_dedup(docs: DataFrame, min_docs: int = 5, min_chars: int = 40) -> DataFrame:
@@ -281,9 +307,10 @@ def line_dedup(docs: DataFrame, min_docs: int = 5, min_chars: int = 40) -> DataF
 
     A text that loses no line is returned as it is, null included.
     """
-    texts = id_text(docs)
+    tables = LineTables(docs.sparkSession, min_docs, min_chars, shards_for(docs, 8))
+    tables.insert(docs)
     own = docs.select(F.struct("*").alias("__row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("did"))
-    joined = own.join(dropped_keys(texts, min_docs, min_chars), "did", "left").select("__row", F.col("__row.text").alias("text"), "drops")
+    joined = own.join(tables.dropped(docs), "did", "left").select("__row", F.col("__row.text").alias("text"), "drops")
     kind = own.schema["__row"].dataType.simpleString()
     same = joined.where("drops is null").select("__row.*")
     cut = joined.where("drops is not null").mapInArrow(lambda b: _cut(b, min_chars, True), f"__row {kind}, kept string")
