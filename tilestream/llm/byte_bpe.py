@@ -23,7 +23,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilestream.llm.common import bounded_batches
+from tilestream.llm.common import bounded_batches, give_back
 
 #: Unicode's White_Space, as \s of the pre-tokenizer's pattern has it.
 SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -134,7 +134,7 @@ class Encoder(dict):
     """Whole texts to ids. Pieces are found within runs of (white space, other characters), which cannot influence each other; the ids
     of short runs are kept, up to a bound."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most_runs: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_runs: int = 250_000):
         super().__init__()
         self.transducer = Transducer(ranks)
         self.ranks = ranks
@@ -171,11 +171,13 @@ class Encoder(dict):
         return out
 
     def release(self) -> None:
-        """Drops what is kept."""
+        """Drops what is kept and gives its memory back."""
         self.clear()
         self.older = {}
         self.transducer._reset()
         self.transducer._joined.clear()
+        gc.collect()
+        give_back()
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -235,7 +237,7 @@ def encoder(path: str, pattern: str) -> Encoder:
 
 
 #: Seconds after which an idle worker drops its tables, since workers outlive their stage.
-IDLE_S = 4.0
+IDLE_S = 2.0
 
 
 class Idle:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -26,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tilestream-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -38,22 +42,42 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, rows)
 
 
+#: Paths of the tables written so far that are still there.
+_written: list[str] = []
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _written.remove(path)
+
+
+def release(spark: SparkSession, docs: DataFrame) -> None:
+    """Deletes the tables written so far, but for those that docs reads from: they served what came before, whose result is written."""
+    used = docs.inputFiles()
+    for path in [p for p in _written if not any(p.rsplit("/", 1)[1] in f for f in used)]:
+        _drop(spark, path)
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read back: cuts the lineage and survives lost executors. It goes when the program ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
 
-    def drop() -> None:
+    _written.append(path)
+    if len(_written) == 1:
+        atexit.register(_drop_all, spark)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _drop_all(spark: SparkSession) -> None:
+    for path in list(_written):
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _drop(spark, path)
         except Exception:  # the session may have ended before
-            pass
-
-    atexit.register(drop)
-    return spark.read.schema(df.schema).parquet(path)
+            return
 
 
 def input_bytes(df: DataFrame) -> int:
@@ -83,6 +107,12 @@ def real_id(col: str = "did"):
     return F.when(F.col(col) != F.lit(-(2**63)), F.col(col))
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, since a worker idles beside the next stage's tasks; where the C library can't, it stays."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def groups(batches: Iterator[pa.RecordBatch], size: int = GROUP_BYTES) -> Iterator[tuple[np.ndarray, list[bytes]]]:
     """Ids and UTF-8 texts of columns did and text, in groups of about size bytes."""
     ids: list[int] = []
@@ -100,6 +130,8 @@ def groups(batches: Iterator[pa.RecordBatch], size: int = GROUP_BYTES) -> Iterat
                 ids, texts, held = [], [], 0
     if ids:
         yield np.array(ids, np.int64), texts
+        texts = []
+    give_back()
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -238,6 +270,7 @@ def key_counts(texts: DataFrame, keys_of: Callable[[np.ndarray, list[bytes]], np
             return
         keys, n = fold(np.concatenate(kept), np.concatenate(sums))
         kept = sums = []
+        give_back()
         keys, n = keys[n >= least], n[n >= least]
         k1 = keys["k1"] if keys.dtype.names else keys
         k2 = keys["k2"] if keys.dtype.names else np.zeros(len(keys), np.uint64)

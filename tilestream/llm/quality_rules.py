@@ -152,22 +152,27 @@ def judged(docs: DataFrame, labels: DataFrame, risk: float = 0.05, error: float
     Null text has no words and fails the base. Null strata are a stratum of their own. Labels that are null, of unknown documents or of
     quality other than 1 aren't used; of several labels of a document the lowest counts. Without labels only the base decides.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.concat(F.lit("="), F.col(stratum).cast("string")), F.lit("-")).alias("stratum"), "text")
+    return _judged(docs, labels, risk, error, stratum, []).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "reason")
+
+
+def _judged(docs: DataFrame, labels: DataFrame, risk: float, error: float, stratum: str, more: list[Column]) -> DataFrame:
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.concat(F.lit("="), F.col(stratum).cast("string")), F.lit("-")).alias("stratum"), "text", *more)
     measured = written(text_measures(rows).withColumn("base_failed", base_failed()), "quality-measures")
     cut = written(thresholds(measured, labels, risk, error).withColumnRenamed("stratum", "__s"), "quality-cutoffs")
     if cut.count() <= BROADCAST_STRATA:
         joined = measured.join(F.broadcast(cut), F.col("stratum") == F.col("__s"), "left")
     else:
         cut = cut.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = measured.join(cut, (F.col("stratum") == F.col("__s")) & (F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)) == F.col("__salt")), "left")
+        joined = measured.join(cut, (F.col("stratum") == F.col("__s")) & (F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)) == F.col("__salt")), "left")
     reason = F.when(F.col("base_failed"), F.lit("base"))
     for r, score in scores().items():
         reason = reason.when(F.coalesce(score > F.col("cutoffs")[r], F.lit(False)), F.lit(r))
-    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", reason.isNull().alias("kept"), reason.alias("reason"))
+    return joined.withColumn("kept", reason.isNull()).withColumn("reason", reason)
 
 
-def filter_documents(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
-    """The rows of docs that judged() keeps. A doc_id that repeats stays if all its rows are kept; rows without doc_id are judged together."""
-    j = judged(docs, labels, **settings)
-    gone = j.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+def filter_documents(docs: DataFrame, labels: DataFrame, risk: float = 0.05, error: float = 0.05, stratum: str = "lang") -> DataFrame:
+    """The rows of docs that judged() keeps, each row by its own text, with all their columns.
+
+    Rows are written once beside their measures, so no text is shuffled.
+    """
+    return _judged(docs, labels, risk, error, stratum, [F.struct("*").alias("__row")]).where("kept").select("__row.*")
