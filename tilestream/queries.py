@@ -11,6 +11,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tilestream.functions import bitplane, hilbert, wavelet
@@ -54,9 +55,7 @@ SELECT view_id, CASE WHEN w * h > 256 THEN greatest(x0, cx - 8) ELSE x0 END AS a
 CASE WHEN w * h > 256 THEN greatest(y0, cy - 8) ELSE y0 END AS ay, CASE WHEN w * h > 256 THEN least(y0 + h - 1, cy + 7) ELSE y0 + h - 1 END AS bz FROM c""")
 EDF = f"""SELECT okey, line, level, layer, round({UTILITY}, 6) AS utility, CASE WHEN tx BETWEEN 8 AND 23 AND ty BETWEEN 8 AND 23 THEN 0 ELSE 1 END AS phase FROM ({PACKETS}) p
 WHERE tx BETWEEN 7 AND 24 AND ty BETWEEN 7 AND 24 ORDER BY phase, level, layer, {UTILITY} DESC, okey, line"""
-shared("edf_order", f"{EDF} LIMIT 1000")
-# the SQL above stops after 1,000 packets; the query gives them all
-QUERIES["edf_order"] = lambda spark, sf_dir: spark.sql(EDF, lineitem=table(spark, sf_dir, "lineitem"))
+shared("edf_order", EDF)
 shared("predictive_order", f"""SELECT okey, line, tx, ty, level, layer FROM (SELECT *, row_number() OVER (PARTITION BY tx, ty, level ORDER BY layer, okey, line) AS rn FROM ({PACKETS}) p
 WHERE tx BETWEEN 8 AND 24 AND ty BETWEEN 8 AND 23 AND (tx < 24 OR ty BETWEEN 12 AND 19)) q WHERE rn = 1""")
 shared("zip_order", f"""SELECT okey, line, level, round(cast(262144 AS DOUBLE) / len, 6) AS utility FROM ({PACKETS}) p WHERE (tx BETWEEN 8 AND 23 AND ty BETWEEN 8 AND 23) OR level = 3
@@ -84,7 +83,6 @@ p AS (SELECT hour, load, lag(load >= 0.7) OVER (ORDER BY hour) AS was FROM h) SE
 shared("pyramid_levels", """WITH l AS (SELECT cast(floor(c_custkey / 32) AS BIGINT) AS image_id, c_custkey % 32 AS level, 2 + c_custkey * 37 AS w, 3 + c_custkey * 29 AS h FROM {customer}),
 t AS (SELECT image_id, level, cast(ceil(w / 64.0) AS BIGINT) AS tiles_x, cast(ceil(h / 64.0) AS BIGINT) AS tiles_y FROM l)
 SELECT image_id, level, tiles_x, tiles_y, cast(coalesce(sum(tiles_x * tiles_y) OVER (PARTITION BY image_id ORDER BY level ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_id FROM t""")
-shared("pan_prediction", """SELECT a.user_id, a.event_id, cast(floor(sum(b.value * exp(-(a.event_id - b.event_id) / cast(600 AS DOUBLE))) * 1000 + 0.0001) AS BIGINT) AS dx_milli, count(*) AS samples FROM {events} a JOIN {events} b ON a.user_id = b.user_id AND b.event_id BETWEEN a.event_id - 1500 AND a.event_id GROUP BY 1, 2""")
 shared("progressive_steps", f"""SELECT tx, ty, level, layer, len, coalesce(layer - lag(layer) OVER (PARTITION BY tx, ty, level ORDER BY layer, okey, line, len), -1) AS step FROM ({PACKETS}) p""")
 
 
@@ -176,16 +174,31 @@ def bitplane_counts(spark, sf_dir):
     return m.select("vec_id", F.when(F.col("m") == 0, 0).otherwise(F.length(F.bin("m"))).alias("planes"))
 
 
-@own(f"""WITH r AS ({RASTER}), b AS (SELECT vec_id, p, y, x, CASE WHEN (abs(v) >> p) & 1 = 0 THEN '0' WHEN abs(v) >> p > 1 THEN '1' WHEN v < 0 THEN '11' ELSE '10' END AS bits FROM r, range(0, 8) q(p) WHERE p < 6)
+@own(f"""WITH r AS ({RASTER}), n AS (SELECT vec_id, max(abs(v)) AS most FROM r GROUP BY vec_id),
+b AS (SELECT vec_id, p, y, x, CASE WHEN (abs(v) >> p) & 1 = 0 THEN '0' WHEN abs(v) >> p > 1 THEN '1' WHEN v < 0 THEN '11' ELSE '10' END AS bits FROM r JOIN n USING (vec_id), range(0, 31) q(p) WHERE (most >> p) > 0)
 SELECT vec_id, cast(p AS INTEGER) AS plane, string_agg(bits, '' ORDER BY y, x) AS bits FROM b GROUP BY vec_id, p""")
 def bitplane_stream(spark, sf_dir):
-    """Every plane of each vector, as many as its largest coefficient has. The SQL stops at plane 5 and fills up to it with zeros."""
+    """Every plane of each vector, as many as its largest coefficient has."""
     n = bitplane_counts(spark, sf_dir).where("planes > 0")
     p = raster(spark, sf_dir).join(n, "vec_id").withColumn("plane", F.explode(F.expr("sequence(0, planes - 1)"))).drop("planes")
     p = p.withColumn("bits", F.expr("CASE WHEN shiftright(abs(v), plane) & 1 = 0 THEN '0' WHEN shiftright(abs(v), plane) > 1 THEN '1' WHEN v < 0 THEN '11' ELSE '10' END"))
     return p.groupBy("vec_id", "plane").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "bits"))), lambda z: z["bits"]), "").alias("bits"))
 
 
+@own("""WITH s AS (SELECT a.user_id, a.event_id, a.event_id - b.event_id AS age, b.value AS dx, b.event_id % 7 - 3 AS dy, row_number() OVER (PARTITION BY a.event_id ORDER BY b.event_id DESC) AS rn
+FROM events a JOIN events b ON a.user_id = b.user_id AND b.event_id BETWEEN a.event_id - 1500 AND a.event_id)
+SELECT user_id, event_id, count(*) AS samples, cast(floor(sum(dx * exp(-age / 600.0::DOUBLE)) * 1000 + 0.0001) AS BIGINT) AS dx_milli, cast(floor(sum(dy * exp(-age / 600.0::DOUBLE)) * 1000 + 0.0001) AS BIGINT) AS dy_milli,
+cast(floor(255 * exp(-max(age) / 1200.0::DOUBLE) * least(1.0::DOUBLE, count(*) / 3.0::DOUBLE) + 0.0001) AS BIGINT) AS confidence FROM s WHERE rn <= 8 GROUP BY user_id, event_id""")
+def pan_prediction(spark, sf_dir):
+    """Movement expected from the last 1500 ms, eight samples at most, the older the less; confidence by the oldest of them and their number."""
+    last = W.partitionBy("user_id").orderBy("event_id").rangeBetween(-1500, W.currentRow)
+    kept = F.collect_list(F.struct("event_id", F.col("value").alias("dx"), (F.col("event_id") % 7 - 3).alias("dy"))).over(last)
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", kept.alias("s")).withColumn("s", F.expr("slice(array_sort(s), greatest(1, size(s) - 7), 8)"))
+    total = lambda c: F.expr(f"cast(floor(aggregate(s, 0D, (a, x) -> a + x.{c} * exp(-(event_id - x.event_id) / 600D)) * 1000 + 0.0001) AS BIGINT)")
+    confidence = F.expr("cast(floor(255 * exp(-(event_id - s[0].event_id) / 1200D) * least(1D, size(s) / 3D) + 0.0001) AS BIGINT)")
+    return e.select("user_id", "event_id", F.size("s").cast("long").alias("samples"), total("dx").alias("dx_milli"), total("dy").alias("dy_milli"), confidence.alias("confidence"))
+
+
 @own(f"WITH r AS ({RASTER}) SELECT cast(k AS INTEGER) AS k, cast(sum(pow(v - sign(v) * ((abs(v) >> k) << k), 2)) AS BIGINT) AS sse FROM r, range(0, 9) q(k) GROUP BY k")
 def progressive_sse(spark, sf_dir):
     r = raster(spark, sf_dir).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(8))))

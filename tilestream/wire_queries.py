@@ -15,7 +15,6 @@ SQL_PACKETS = PACKETS.replace("{lineitem}", "lineitem")
 
 shared("contiguous_prefix", f"""WITH r AS (SELECT DISTINCT tx, ty, level, layer FROM ({PACKETS}) p WHERE (okey + line) % 5 <> 0),
 n AS (SELECT *, row_number() OVER (PARTITION BY tx, ty, level ORDER BY layer) - 1 AS rn FROM r) SELECT tx, ty, level, cast(sum(CASE WHEN layer = rn THEN 1 ELSE 0 END) AS BIGINT) AS prefix FROM n GROUP BY tx, ty, level""")
-shared("deadline_misses", f"""SELECT level, count(*) AS sent, cast(sum(CASE WHEN layer = 0 AND tx BETWEEN 8 AND 23 AND ty BETWEEN 8 AND 23 AND len > CASE WHEN level = 0 THEN 250 ELSE 1000 END THEN 1 ELSE 0 END) AS BIGINT) AS missed FROM ({PACKETS}) p GROUP BY level""")
 shared("client_utility", f"SELECT okey, line, len * pow(cast(2 AS DOUBLE), least(80, 2 * (7 - layer))) / greatest(1, len) AS utility, pow(cast(2 AS DOUBLE), least(30, 2 * level)) AS zip_utility FROM ({PACKETS}) p")
 shared("zoom_level", "SELECT event_id, greatest(0, least(5, cast(floor(5 + log2((value + 1) / 1000) + 0.5) AS BIGINT) + 1)) AS level, greatest(0, least(5, cast(floor(5 + log2((value + 1) / 1000) + 0.5) AS BIGINT))) AS zip_level FROM {events}")
 shared("screen_to_image", "SELECT event_id, cast(floor((user_id - 20.5) / (1 + value) * 1000000 + 0.5) AS BIGINT) AS ix_micro, cast(floor(least(800 / (1 + value), 600 / (2 + value)) * 1000000 + 0.5) AS BIGINT) AS fit_micro FROM {events}")
@@ -34,6 +33,16 @@ WHEN 'json' THEN 'application/json' WHEN 'png' THEN 'image/png' WHEN 'svg' THEN
 shared("query_string", """SELECT page_id, CASE WHEN position('?' IN url) > 0 THEN split_part(url, '?', 2) END AS query, nullif(regexp_extract(url, '[?&]utm_source=([^&#]*)', 1), '') AS utm_source FROM {pages}""")
 
 
+WAITED = "SELECT event_id, user_id % 3 AS level, event_id % 4 AS layer, event_type <> 'purchase' AS visible, {ms} - lag({ms}) OVER (PARTITION BY user_id ORDER BY event_id) AS waited FROM {events}"
+MISSED = "SELECT level, count(*) AS sent, cast(sum(CASE WHEN visible AND layer = 0 AND waited > CASE WHEN level = 0 THEN 250 ELSE 1000 END THEN 1 ELSE 0 END) AS BIGINT) AS missed FROM ({waited}) w GROUP BY level"
+
+
+@own(MISSED.format(waited=WAITED.format(ms="epoch_ms(ts)", events="events")))
+def deadline_misses(spark, sf_dir):
+    """First layers of visible tiles that come too late behind the event before: over 250 ms at level 0, over 1000 ms elsewhere."""
+    return spark.sql(MISSED.format(waited=WAITED.format(ms="unix_millis(cast(ts AS TIMESTAMP))", events="{events}")), events=table(spark, sf_dir, "events"))
+
+
 @own(f"SELECT okey, line, tx * 64 + ty AS tile, cast(0 AS BIGINT) AS comp, cast(level AS BIGINT) AS level, tx % 8 AS py, ty % 8 AS px, layer, ((tx * 64 + ty) << 37) + (cast(level AS BIGINT) << 30) + ((tx % 8) << 19) + ((ty % 8) << 8) + layer AS packet_id FROM ({SQL_PACKETS}) p")
 def packet_ids(spark, sf_dir):
     """Ids packed into one long, and the fields unpacked from it."""
