@@ -1,4 +1,8 @@
-"""The corpus pipeline: quality rules, line dedup, n-gram Jaccard join, mixing, byte-level BPE, one after the other over documents."""
+"""The corpus pipeline: quality rules, line dedup, n-gram Jaccard join, mixing, byte-level BPE, one after the other over documents.
+
+Every stage but the first deletes the tables that served earlier ones, since its docs are written by then; those that docs still reads stay.
+Rows with null or repeated ids, null texts and empty tables go through as each operator's docstring says.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tilestream.llm import byte_bpe, jaccard_join, line_dedup, mixing, quality_rules
-from tilestream.llm.common import written
+from tilestream.llm.common import release, written
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -18,21 +22,25 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that many of them repeat."""
+    release(spark, docs)
     return line_dedup.line_dedup(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
+    release(spark, docs)
     return jaccard_join.one_of_each(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources: a row for each time that a document is taken."""
+    release(spark, docs)
     return mixing.mixed_documents(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids and digests of each row of the mix."""
+    release(spark, docs)
     return byte_bpe.encode_documents(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, keep_ids=True)
 
 
