@@ -423,3 +423,47 @@ def test_units_find_all_partners():
             price = rng.integers(1, 50, 4096)
             found = s.allocated(units, lambda sig: price[(sig % np.uint64(4096)).astype(np.int64)]) if s.room() >= units else x[:units]
             assert np.isin(found, np.concatenate((jaccard_join.Segments(y, band).index(), y))).any()
+
+
+def test_windows_of_one_hash_are_told_apart(spark, monkeypatch):
+    """With two bits of hash left nearly all windows collide, and texts are longer than the position's bits hold: figures stay exact."""
+    docs = spark.createDataFrame(corpus(), SCHEMA).where("doc_id <> 30")
+    want = sorted(tuple(r) for r in quality_rules.text_measures(docs.select("doc_id", "text")).collect() if r.doc_id != 10)
+    for bits in (62, 4):
+        monkeypatch.setattr(quality_rules, "POS_BITS", bits)
+        got = sorted(tuple(r) for r in quality_rules.text_measures(docs.select("doc_id", "text")).collect() if r.doc_id != 10)
+        assert got == want
+
+
+def test_cutoffs_by_hand(spark):
+    """Thresholds against the exact tail, over every label."""
+    from math import comb
+
+    rng = random.Random(4)
+    rows = [(i, sentence(rng, 60) + " #" * rng.choice([0, 0, 0, 0, 8, 30]), rng.choice(["en", "de"]), "a", 1, 1, 1) for i in range(1500)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(1500)], "doc_id long, quality int, toxic int")
+    measured = quality_rules.text_measures(docs.select("doc_id", F.col("lang").alias("stratum"), "text")).withColumn("base_failed", quality_rules.base_failed())
+    got = {r.stratum: r.cutoffs for r in quality_rules.thresholds(measured, labels, 0.2, 0.05).collect()}
+    m = measured.select("*", *[c.alias(f"s_{r}") for r, c in quality_rules.scores().items()]).collect()
+    want = {}
+    for stratum in ("en", "de"):
+        held = [r for r in m if r.stratum == stratum and r.doc_id % 3 and not r.base_failed]
+        for rule, cuts in quality_rules.RULES.items():
+            for c in cuts:
+                k, n, p = sum(r[f"s_{rule}"] > c for r in held), len(held), 0.2 / 5
+                if sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)) > 0.05 / (2 * 5):
+                    break
+                want.setdefault(stratum, {})[rule] = c
+    assert got == want
+
+
+def test_mixed_rows_that_repeat(spark):
+    """Rows with one id, size and source are each taken as planned, and reruns agree."""
+    rng = random.Random(2)
+    rows = [(i % 20, sentence(rng, 30), "en", ["a", "b", "c"][i % 3], 1, 1, 1) for i in range(90)]
+    docs = spark.createDataFrame([*rows, *rows[:7]], SCHEMA)
+    words = lambda d: sorted((r.doc_id, r.text) for r in d.collect())
+    first = words(mixing.mixed_documents(docs))
+    assert sum(len(WORD.findall(t)) for _, t in first) == sum(r.taken for r in mixing.mix_report(docs).collect())
+    assert first == words(mixing.mixed_documents(docs))

@@ -109,6 +109,7 @@ def real_id(col: str = "did"):
 
 def give_back() -> None:
     """Returns freed memory to the system, since a worker idles beside the next stage's tasks; where the C library can't, it stays."""
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilestream.llm.common import FILTER_BYTES, groups, id_text, mixed, real_id, shard_of, shards_for, written
+from tilestream.llm.common import FILTER_BYTES, give_back, groups, id_text, mixed, real_id, shard_of, shards_for, written
 
 SPACE = b" \t\n\x0b\x0c\r"
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -282,6 +282,7 @@ def _cut(batches, min_chars: int, with_text: bool):
         else:
             cols = {"did": b.column(names.index("did")), "n_lines": pa.array(out["n_lines"], pa.int64()), "n_dropped": pa.array(out["n_dropped"], pa.int64()), "kept_sha256": pa.array(out["kept_sha256"], pa.string())}
         yield pa.RecordBatch.from_pydict(cols)
+    give_back()
 
 
 def line_dedup_report(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, again: int = 32) -> DataFrame:
