@@ -2,7 +2,7 @@
 
 Minimizers choose an anchor within every 50-byte window, by the window's content alone, so equal windows have equal anchors. Anchors that
 two documents share are counted first. The windows around shared anchors are dealt by anchor; each shard sorts the suffixes that start
-there by their first 50 bytes, in runs that go to disk and are merged by a priority queue, and walks them by common prefix.
+there by their first 50 bytes, in runs that go to disk and are merged by a priority queue. Orders aren't induced recursively.
 """
 
 from __future__ import annotations
