@@ -34,9 +34,10 @@ def load_ranks(data: bytes) -> dict[bytes, int]:
 
 
 class Transducer:
-    """Encodes byte strings by ranks. States and arcs are made when first needed and dropped together when there are too many."""
+    """Encodes byte strings by ranks. States and arcs are made when first needed. Beyond a number of states new ones serve once and aren't
+    kept, since those that recur are met early; all are dropped together when too many had to pass."""
 
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], most_states: int = 80_000):
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
         self.most_states = most_states
@@ -53,23 +54,17 @@ class Transducer:
                 node = to
             self.ends[node] = i
         self._proper: dict[int, bool] = {}
-        self._joined: dict[tuple[int, int], bool] = {}
+        self._joined: dict[int, bool] = {}
         self._reset()
 
     def _reset(self) -> None:
         for state in getattr(self, "states", {}).values():
             state.clear()  # states lead to each other
-        # a state is the dictionary of its arcs, byte -> (state, tokens)
-        self.configs: dict[int, tuple] = {}
+        # a state is the dictionary of its arcs, byte -> (state, tokens); -1 leads to the paths that live in it
         self.states: dict[tuple, dict] = {}
-        self.start = self._state(((-1, 0, ()),))
-
-    def _state(self, key: tuple) -> dict:
-        state = self.states.get(key)
-        if state is None:
-            state = self.states[key] = {}
-            self.configs[id(state)] = key
-        return state
+        self.passed = 0
+        start = ((-1, 0, ()),)
+        self.start = self.states[start] = {-1: start}
 
     def merged(self, data: bytes) -> list[int]:
         """The encoding by merging, lowest rank first and leftmost among equals; for the short strings of the pair test."""
@@ -91,15 +86,17 @@ class Transducer:
         """Whether token u may follow token t."""
         if t < 0:
             return True
-        if (t, u) not in self._joined:
-            if len(self._joined) > 600_000:
+        pair = t << 32 | u
+        found = self._joined.get(pair)
+        if found is None:
+            if len(self._joined) > 400_000:
                 self._joined.clear()
-            self._joined[t, u] = self.merged(self.tokens[t] + self.tokens[u]) == [t, u]
-        return self._joined[t, u]
+            found = self._joined[pair] = self.merged(self.tokens[t] + self.tokens[u]) == [t, u]
+        return found
 
     def _arc(self, state: dict, byte: int) -> tuple[dict, tuple[int, ...]]:
         after = []
-        for last, node, waiting in self.configs[id(state)]:
+        for last, node, waiting in state[-1]:
             to = self.child[node].get(byte)
             if to is None:
                 continue
@@ -112,11 +109,19 @@ class Transducer:
         shortest = min(len(w) for _, _, w in after)
         while agreed < shortest and len({w[agreed] for _, _, w in after}) == 1:
             agreed += 1
-        made = state[byte] = (self._state(tuple(sorted((t, n, w[agreed:]) for t, n, w in after))), after[0][2][:agreed])
+        key = tuple(sorted((t, n, w[agreed:]) for t, n, w in after))
+        made = self.states.get(key), after[0][2][:agreed]
+        if made[0] is None:
+            made = {-1: key}, made[1]
+            if len(self.states) >= self.most_states:
+                self.passed += 1
+                return made
+            self.states[key] = made[0]
+        state[byte] = made
         return made
 
     def encode(self, data: bytes) -> list[int]:
-        if len(self.states) > self.most_states:
+        if self.passed > 20 * self.most_states:
             self._reset()
         out: list[int] = []
         state = self.start
@@ -124,7 +129,7 @@ class Transducer:
             state, tokens = state.get(byte) or self._arc(state, byte)
             if tokens:
                 out += tokens
-        for _, node, waiting in self.configs[id(state)]:
+        for _, node, waiting in state[-1]:
             if node == 0:
                 out += waiting
         return out
