@@ -12,6 +12,7 @@ import base64
 import gc
 import functools
 import hashlib
+import re
 import sys
 import threading
 from array import array
@@ -147,7 +148,7 @@ class Encoder(dict):
         self.older: dict[str, bytes] = {}
         assert sys.byteorder == "little" and array("I").itemsize == 4
         self.piece = regex.compile(pattern.replace(r"[^\s", f"[^{SPACES}").replace(r"\s", f"[{SPACES}]").replace(r"\S", f"[^{SPACES}]"))
-        self.runs = regex.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
+        self.runs = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
         self.words = {i: t for t, i in ranks.items()}
 
     def __missing__(self, run: str) -> bytes:
