@@ -5,11 +5,13 @@ import os
 
 import duckdb
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from tilestream import queries as Q
 from tilestream import delivery_queries, wire_queries  # noqa: F401
 from tilestream.functions import bitplane, hilbert
+from tilestream.operators import schedule
 from tilestream.sources import png
 
 SF = "/root/testdata/sf0.001"
@@ -97,3 +99,22 @@ def test_edf_order_is_whole(spark):
     packets = Q.PACKETS.replace("{lineitem}", "lineitem")
     assert len(got) == con.sql(f"select count(*) as n from ({packets}) p where tx between 7 and 24 and ty between 7 and 24").df()["n"][0] > 1000
     assert got == list(con.sql(f"select okey, line, level, layer, phase from ({Q.ORACLES['edf_order']})").df().itertuples(index=False, name=None))
+
+
+def test_offsets_keep_nulls(spark):
+    """Packets without a tile or a key come last, as in the SQL, and none goes."""
+    rows = [(1, None, 2, 5), (0, 1, 1, 30), (None, 0, 0, 7), (0, 1, 3, 20), (0, 0, 9, 4), (0, 1, None, 1)]
+    got = schedule.offsets(spark.createDataFrame(rows, "tx long, ty long, okey long, len long"), ["tx", "ty"], ["okey"], "len").select("tx", "ty", "okey", "len", "start").collect()
+    assert sorted(map(tuple, got), key=lambda r: r[4]) == [(0, 0, 9, 4, 0), (0, 1, 1, 30, 4), (0, 1, 3, 20, 34), (0, 1, None, 1, 54), (1, None, 2, 5, 55), (None, 0, 0, 7, 60)]
+
+
+def test_tile_index_breaks_ties_by_place(spark, tmp_path):
+    """Packets of one key get offsets by file and, in each, from the last row to the first."""
+    line = "0L AS l_orderkey, 0L AS l_partkey, 0L AS l_suppkey, 1 AS l_linenumber, 8D AS l_quantity, 1D * x AS l_extendedprice, timestamp '2000-01-01' AS l_shipdate"
+    where = str(tmp_path / "lineitem.parquet")
+    for k in range(4):
+        spark.range(1).selectExpr(f"explode(transform(sequence(0, 24), i -> i * 7 % 25 + {k} * 25)) AS x").selectExpr(*line.split(", ")).coalesce(1).write.mode("append").parquet(where)
+    lens = {f: [1 + int(x) for x in pq.read_table(f)["l_extendedprice"].to_pylist()] for f in sorted(glob.glob(f"{where}/*.parquet"))}
+    want = [n for f in lens for n in lens[f][::-1]]
+    got = Q.QUERIES["tile_index"](spark, str(tmp_path)).orderBy("start").collect()
+    assert [r.len for r in got] == want and [r.start for r in got] == [sum(want[:i]) for i in range(len(want))]
