@@ -467,3 +467,16 @@ def test_mixed_rows_that_repeat(spark):
     first = words(mixing.mixed_documents(docs))
     assert sum(len(WORD.findall(t)) for _, t in first) == sum(r.taken for r in mixing.mix_report(docs).collect())
     assert first == words(mixing.mixed_documents(docs))
+
+
+def test_filters_beyond_the_broadcast_limit_still_filter(spark, monkeypatch):
+    """A filter too large to broadcast is mapped from a file and rules out the same keys."""
+    docs = spark.createDataFrame([(i, str(i % 40)) for i in range(60)], "did long, text string")
+    keys = lambda _ids, texts: np.array([common.mixed(np.uint64(int(t))) for t in texts], np.uint64)
+    counts = common.key_counts(docs, keys, 4, 2, "test-keys")
+    probe = common.mixed(np.arange(4000, dtype=np.uint64))
+    held = common.key_filter(counts, 4).value.contains(probe)
+    monkeypatch.setattr(common, "FILTER_BYTES", 0)
+    mapped = common.key_filter(counts, 4).value
+    assert not mapped.whole and mapped.path
+    assert (mapped.contains(probe) == held).all() and held[:20].all() and held.sum() < 200
