@@ -118,3 +118,9 @@ def test_tile_index_breaks_ties_by_place(spark, tmp_path):
     want = [n for f in lens for n in lens[f][::-1]]
     got = Q.QUERIES["tile_index"](spark, str(tmp_path)).orderBy("start").collect()
     assert [r.len for r in got] == want and [r.start for r in got] == [sum(want[:i]) for i in range(len(want))]
+
+
+def test_shed_zip_never_brings_candidates_together(spark):
+    """What the query shuffles doesn't grow with the candidates: no window over them."""
+    got = Q.QUERIES["shed_zip"](spark, SF)
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
