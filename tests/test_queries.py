@@ -124,3 +124,20 @@ def test_shed_zip_never_brings_candidates_together(spark):
     """What the query shuffles doesn't grow with the candidates: no window over them."""
     got = Q.QUERIES["shed_zip"](spark, SF)
     assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name, most", [("sched_mode0", 32), ("sched_mode1", 32), ("sched_mode2", 32), ("per_session_topk", 16)])
+def test_views_meet_no_more_packets_than_they_can_take(spark, duck, tmp_path, name, most):
+    """Tiles with many packets are cut to their first ones before views meet them, with the same rows as the SQL."""
+    duck.sql(f"copy (select l_orderkey * 100 + i as l_orderkey, * exclude (l_orderkey) from lineitem, range(100) r(i) where l_partkey < 160 and l_suppkey < 4) to '{tmp_path}/lineitem.parquet'")
+    duck.sql(f"copy (select * from orders where o_orderkey % 40 = 1) to '{tmp_path}/orders.parquet'")
+    got = Q.QUERIES[name](spark, str(tmp_path))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(f"<= {most})") >= 2 and plan.index("Join") < plan.rindex(f"<= {most})")
+    con = duckdb.connect()
+    for t in ("lineitem", "orders"):
+        con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
+    want = con.sql(Q.ORACLES[name]).df()
+    cols = sorted(want.columns)
+    text = lambda d: d[cols].astype(str).sort_values(cols).reset_index(drop=True)
+    assert len(want) and text(got.toPandas()).equals(text(want))
