@@ -120,6 +120,20 @@ def test_tile_index_breaks_ties_by_place(spark, tmp_path):
     assert [r.len for r in got] == want and [r.start for r in got] == [sum(want[:i]) for i in range(len(want))]
 
 
+def test_viewport_tiles_leaves_cells_in_place(spark, duck, tmp_path):
+    """Cells are joined where they are made, and keys below 0, whose views have no width, give the SQL's rows."""
+    plan = Q.QUERIES["viewport_tiles"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" in plan and plan.index("Join") < plan.index("Generate") < plan.index("Repartition")
+    duck.sql(f"copy (select o_orderkey - 700 as o_orderkey, o_custkey - 70 as o_custkey, * exclude (o_orderkey, o_custkey) from orders) to '{tmp_path}/orders.parquet'")
+    duck.sql(f"copy (select l_partkey - 1500 as l_partkey, l_suppkey - 5 as l_suppkey, * exclude (l_partkey, l_suppkey) from lineitem) to '{tmp_path}/lineitem.parquet'")
+    con = duckdb.connect()
+    for t in ("lineitem", "orders"):
+        con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
+    want, cols = con.sql(Q.ORACLES["viewport_tiles"]).df(), ["view_id", "tx", "ty", "packets", "visible"]
+    text = lambda d: d[cols].astype(str).sort_values(cols).reset_index(drop=True)
+    assert len(want) and text(Q.QUERIES["viewport_tiles"](spark, str(tmp_path)).toPandas()).equals(text(want))
+
+
 def test_shed_zip_never_brings_candidates_together(spark):
     """What the query shuffles doesn't grow with the candidates: no window over them."""
     got = Q.QUERIES["shed_zip"](spark, SF)
