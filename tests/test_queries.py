@@ -120,6 +120,32 @@ def test_tile_index_breaks_ties_by_place(spark, tmp_path):
     assert [r.len for r in got] == want and [r.start for r in got] == [sum(want[:i]) for i in range(len(want))]
 
 
+def test_rounds_read_packets_once(spark):
+    """Views of every load, some twice or with nulls, packets with null keys, negative layers and equal prices, in chunks: the SQL's rows, without its windows."""
+    rng, some = np.random.default_rng(5), lambda x, k: None if k % 37 == 5 else int(x)
+    lines = [(some(rng.integers(0, 30), k), some(rng.integers(1, 8), k + 9), int(x), int(rng.integers(0, 16)), int(rng.integers(0, 6)), some(rng.integers(-2 if x >= 40 else 0, 8), k + 20), int(rng.integers(1, 9)) << 4) for k, x in enumerate(rng.integers(0, 64, 8000))]
+    views = [(k - k % 2 if k < 20 else k, 7, int(rng.integers(0, 20 if k < 20 else 60)), some(rng.integers(0, 12), k), int(rng.integers(-2, 10)), int(rng.integers(1, 8)), int(rng.integers(0, 6)), int(rng.integers(0, 9)), None if k % 11 == 3 else float(rng.choice([0.2, 0.7, 0.9]))) for k in range(150)]
+    p = spark.createDataFrame(lines, "okey long, line int, tx long, ty long, level int, layer long, len long")
+    v = spark.createDataFrame(views, "view_id long, session_id long, x0 long, y0 long, w long, h long, level long, max_layers long, load double")
+    con = duckdb.connect()
+    con.register("p0", p.toArrow())
+    con.register("v0", v.toArrow())
+    sql = Q.ORACLES["round_refinement"].replace(f"({delivery_queries.VIEW_SQL})", "v0").replace(f"({delivery_queries.SQL_PACKETS})", "p0")
+    assert "orders" not in sql and "lineitem" not in sql
+    want = con.sql(sql).df()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = schedule.rounds(v, p, 64, 64, most=500)
+        got = got.toPandas()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    cols = ["view_id", "turn", "okey", "line"]
+    text = lambda d: d[cols].astype("Int64").astype(str).sort_values(cols).reset_index(drop=True)
+    assert len(want) > 4000 and text(got).equals(text(want))
+    plan = Q.QUERIES["round_refinement"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "dense_rank" not in plan and "row_number" not in plan
+
+
 def test_viewport_tiles_leaves_cells_in_place(spark, duck, tmp_path):
     """Cells are joined where they are made, and keys below 0, whose views have no width, give the SQL's rows."""
     plan = Q.QUERIES["viewport_tiles"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
