@@ -480,3 +480,26 @@ def test_filters_beyond_the_broadcast_limit_still_filter(spark, monkeypatch):
     mapped = common.key_filter(counts, 4).value
     assert not mapped.whole and mapped.path
     assert (mapped.contains(probe) == held).all() and held[:20].all() and held.sum() < 200
+
+
+@pytest.mark.parametrize("by", ["written", "release"])
+def test_the_drivers_garbage_goes(spark, monkeypatch, by):
+    monkeypatch.setattr(common, "HEAP_SHARE", 0.0)
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    runtime = jvm.java.lang.Runtime.getRuntime()
+    used = lambda: (runtime.totalMemory() - runtime.freeMemory()) >> 20
+    docs = spark.range(3).toDF("doc_id")
+    held = gateway.new_array(gateway.jvm.byte, 200 << 20)
+    before = used()
+    del held
+    if by == "written":
+        assert common.written(docs, "test-garbage").count() == 3
+    else:
+        common.release(spark, docs)
+    assert used() < before - 150
+
+
+def test_a_heap_within_its_share_is_left_alone(spark, monkeypatch):
+    monkeypatch.setattr(common, "HEAP_SHARE", 1.0)
+    assert not common.heap_grown(spark)
+    assert isinstance(common.collect_driver(spark), str)
