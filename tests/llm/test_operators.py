@@ -482,6 +482,15 @@ def test_filters_beyond_the_broadcast_limit_still_filter(spark, monkeypatch):
     assert (mapped.contains(probe) == held).all() and held[:20].all() and held.sum() < 200
 
 
+def test_each_shard_of_key_counts_has_a_task_of_its_own(spark):
+    docs = spark.createDataFrame([(i, str(i % 400)) for i in range(800)], "did long, text string")
+    keys = lambda _ids, texts: np.array([common.mixed(np.uint64(int(t))) for t in texts], np.uint64)
+    counts = common.key_counts(docs, keys, 24, 2, "test-shards").withColumn("file", F.input_file_name())
+    shards = counts.groupBy("file").agg(F.countDistinct("shard").alias("n")).collect()
+    assert len(shards) == 24 and {r.n for r in shards} == {1}
+    assert counts.where("k1 IS NOT NULL").count() == 400
+
+
 @pytest.mark.parametrize("by", ["written", "release"])
 def test_the_drivers_garbage_goes(spark, monkeypatch, by):
     monkeypatch.setattr(common, "HEAP_SHARE", 0.0)
