@@ -512,3 +512,25 @@ def test_a_heap_within_its_share_is_left_alone(spark, monkeypatch):
     monkeypatch.setattr(common, "HEAP_SHARE", 1.0)
     assert not common.heap_grown(spark)
     assert isinstance(common.collect_driver(spark), str)
+
+
+def test_jaccard_join_writes_filters_without_their_digests(spark, docs, monkeypatch):
+    """Of counted digests only the filters are read again, so only they are written; what a round no longer reads isn't held."""
+    made, count = [], jaccard_join.key_counts
+    monkeypatch.setattr(jaccard_join, "key_counts", lambda *a, **b: made.append(count(*a, **b)) or made[-1])
+    held = lambda: spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    before, most, write = held(), [], jaccard_join.written
+    monkeypatch.setattr(jaccard_join, "written", lambda df, what: most.append(held() if what == "components" else 0) or write(df, what))
+    jaccard_join.component_table(docs).collect()
+    assert len(made) == 3 and max(most) > before
+    assert [d.where("filter IS NULL").count() for d in made] == [0, 0, 0] and max(most) == before + 1
+
+
+def test_filters_hold_every_key():
+    """Keys that were put in are found, in every shard; few others are."""
+    keys = common.narrowed(np.random.default_rng(3).integers(0, 2**63, 60000).astype(np.uint64), 5)
+    inside, outside = keys[:20000], np.setdiff1d(keys[20000:], keys[:20000])
+    shard = common.shard_of(inside, 5)
+    f = common.KeyFilter({s: np.frombuffer(common.KeyFilter.build(inside[shard == s]), np.uint8) for s in range(4)}, 5)
+    assert (f.contains(inside) == (shard < 4)).all() and f.contains(outside).mean() < 0.02
+    assert common.distinct(np.array([5, 1, 5, 2], np.uint64)).tolist() == [1, 2, 5] and not len(common.distinct(keys[:0]))
